@@ -5,8 +5,9 @@ from .mixing import ORACLE as MIXING
 from .mixing import op4_mixing
 from .near_dedup import ORACLE as NEAR_DEDUP
 from .near_dedup import op6_minhash_near_dedup
+from .language_model import op10_lm_scoring
 from .media import op9_media_columns
 from .secrets import op2_secret_scans
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_mixing, op6_minhash_near_dedup, op7_document_fingerprints, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_mixing, op6_minhash_near_dedup, op7_document_fingerprints, op9_media_columns, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op4_mixing": MIXING, "op6_minhash_near_dedup": NEAR_DEDUP}
