@@ -7,7 +7,8 @@ from .near_dedup import ORACLE as NEAR_DEDUP
 from .near_dedup import op6_minhash_near_dedup
 from .language_model import op10_lm_scoring
 from .media import op9_media_columns
+from .pii import op1_pii
 from .secrets import op2_secret_scans
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_mixing, op6_minhash_near_dedup, op7_document_fingerprints, op9_media_columns, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secret_scans, op4_mixing, op6_minhash_near_dedup, op7_document_fingerprints, op9_media_columns, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op4_mixing": MIXING, "op6_minhash_near_dedup": NEAR_DEDUP}
