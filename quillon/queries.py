@@ -499,10 +499,11 @@ def tuple_format(spark, d):
     return world.relationships(spark, d, *SOME).select(tuples.text().alias("tuple"))
 
 
-@query(w(*SOME) + "SELECT rt AS resource_type, rid AS resource_id, rr AS resource_rel, st AS subject_type, sid AS subject_id, sr AS subject_rel, cav AS caveat_name, ctx AS caveat_ctx, ex AS expiration_ns FROM rel")
+@query(w(*SOME) + "SELECT rt AS resource_type, rid AS resource_id, rr AS resource_rel, st AS subject_type, sid AS subject_id, sr AS subject_rel, coalesce(cav, '') AS caveat_name, coalesce(ctx, '') AS caveat_ctx, coalesce(ex, 0) AS expiration_ns FROM rel")
 def tuple_parse(spark, d):
     """Lines and back, by the whole grammar."""
-    return tuples.parse(world.relationships(spark, d, *SOME).select(tuples.text().alias("value")))
+    rows = tuples.parse(world.relationships(spark, d, *SOME).select(tuples.text().alias("value")))
+    return rows.select(*KEY, *(F.coalesce(c, F.lit(x)).alias(c) for c, x in (("caveat_name", ""), ("caveat_ctx", ""), ("expiration_ns", 0))))
 
 
 @query(w("owner", "region", "group") + PLAIN)
@@ -524,7 +525,7 @@ def schema_validation_clean(spark, d):
 
 # ---- time
 
-ITEM = "SELECT rid, sid, payload, created_rev, deleted_rev FROM iv "
+ITEM = "SELECT rid, sid, payload, created_rev, coalesce(deleted_rev, 0) AS deleted_rev FROM iv "
 MID = "(SELECT epoch_us(min(ts) + (max(ts) - min(ts)) / 2) * 1000 FROM events)"
 
 
@@ -533,7 +534,7 @@ def _items(spark, d):
 
 
 def _item(df):
-    return df.select(F.col("resource_id").alias("rid"), F.col("subject_id").alias("sid"), F.col("caveat_ctx").alias("payload"), "created_rev", "deleted_rev")
+    return df.select(F.col("resource_id").alias("rid"), F.col("subject_id").alias("sid"), F.col("caveat_ctx").alias("payload"), "created_rev", F.coalesce("deleted_rev", F.lit(0)).alias("deleted_rev"))
 
 
 def _middle(spark, d) -> int:
@@ -567,7 +568,7 @@ def _updates(spark, d):
     return live.select(F.when(k == 0, "delete").otherwise("touch").alias("op"), *KEY, "caveat_name", F.when(k == 1, F.col("caveat_ctx")).otherwise("new").alias("caveat_ctx"), "expiration_ns")
 
 
-@query("WITH " + INTERVALS + f", {LIVE}, {UPD} SELECT rid, sid, payload, created_rev, CASE WHEN deleted_rev IS NULL AND (CAST(sid AS BIGINT) % 3 = 0 OR (CAST(sid AS BIGINT) % 3 = 2 AND payload <> 'new')) THEN {NEW} ELSE deleted_rev END AS deleted_rev FROM iv UNION ALL SELECT rid, sid, p, {NEW}, NULL FROM u WHERE op = 'touch' AND p = 'new'")
+@query("WITH " + INTERVALS + f", {LIVE}, {UPD} SELECT rid, sid, payload, created_rev, CASE WHEN deleted_rev IS NULL AND (CAST(sid AS BIGINT) % 3 = 0 OR (CAST(sid AS BIGINT) % 3 = 2 AND payload <> 'new')) THEN {NEW} ELSE coalesce(deleted_rev, 0) END AS deleted_rev FROM iv UNION ALL SELECT rid, sid, p, {NEW}, 0 FROM u WHERE op = 'touch' AND p = 'new'")
 def write_touch_delete(spark, d):
     """A touch with the same payload changes nothing."""
     return _item(store.apply_updates(_items(spark, d), _updates(spark, d), NEW))
