@@ -6,11 +6,17 @@
    ``common_values(size)`` retained values, so of a class's shared values, rarest first, only as many are
    listed as leave one value fewer than that (prefix filter over a corpus-wide order). Values that whole
    crowds share stay out of the lists this way.
-3. Each inverted list first compares its members with one pivot. Pairs go through the size filter, then the
-   union-sketch estimate, then exact Jaccard similarity on whole sets; links make components.
-4. Lists whose members are all in one component are done. The rest still hold pairs of different components:
-   short lists compare all of those; long ones are split by a second value that such a pair must share, and
-   go through 3 again; what is still long after DEPTH splits compares all pairs. So no pair is given up.
+3. Classes that are listed get their whole sets. One of whose values too few are in any other whole set can't
+   link and goes.
+4. Each inverted list first compares its members with one pivot, the member whose retained values are the most
+   widely shared (the hub of a crowd of edited copies). Pairs go through the size filter, then the union-sketch
+   estimate, then exact Jaccard similarity on whole sets; links make components.
+5. Lists whose members are all in one component are done. In the rest, pairs of different components remain.
+   Two members have in common at most the smaller of what they share with the pivot plus the smaller of what
+   else of theirs is shared at all; pairs that this bound leaves too little are passed over, the others are
+   compared, each in the first list that they share. Lists of more than LONG members are first split by a second
+   value that such a pair must share, and go through 4 again; after DEPTH splits all are compared as they are.
+   So no pair is given up.
 
 Sketches of sets up to K values are whole sets. For larger ones ``common_values`` lies five standard
 deviations below the expected overlap at the threshold.
@@ -35,9 +41,11 @@ from .common import cut
 from .components import merge
 
 K, WORDS = 64, 5
-#: Lists up to this length compare all their remaining pairs.
-SHORT = 24
+#: Lists up to this length compare their remaining pairs; longer ones are split first.
+LONG = 20_000
 DEPTH = 3
+#: The least union-sketch estimate at which a pair with a pivot gets its exact similarity.
+PIVOT_LEAST = 0.4
 #: Ids that may be broadcast (8 bytes each); beyond, a shuffled join takes its place.
 BROADCAST_IDS = 2_000_000
 
@@ -79,90 +87,101 @@ class _Search:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> None:
         self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
-        self.checked: DataFrame | None = None
+        #: What pairs have in common, so far: (a, b, common).
+        self.known = docs.sparkSession.createDataFrame([], "a long, b long, common int")
         self.labels = docs.sparkSession.createDataFrame([], "node long, label long")
 
     def prefixes(self) -> DataFrame:
-        """(cls, n, listed): each class's shared values, rarest first, one more than its lists need."""
+        """(cls, n, hub, take, listed): each class's shared values, rarest first, one more than its lists need."""
         vals = self.classes.select("cls", "n", F.explode("vals").alias("v"))
         shared = vals.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
         rows = vals.join(shared, "v").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("l"))
         need = common_values(self.percent, F.col("n"))
         rows = rows.withColumn("take", F.size("l") - need + 1).filter("take > 0")
-        return rows.select("cls", "n", "take", F.transform(F.slice("l", 1, F.col("take") + 1), lambda x: x["v"]).alias("listed"))
+        hub = F.aggregate("l", F.lit(0).cast("long"), lambda z, x: z + x["df"])
+        return rows.select("cls", "n", hub.alias("hub"), "take", F.transform(F.slice("l", 1, F.col("take") + 1), lambda x: x["v"]).alias("listed"))
 
     def fits(self, a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Check pairs (a, b, a < b) and merge the components that true ones link."""
-        pairs = pairs.distinct()
-        if self.checked is not None:
-            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        self.checked = pairs if self.checked is None else self.checked.union(pairs)
+    def confirm(self, pairs: DataFrame, least: float | None = None) -> None:
+        """Find the similarity of pairs (a, b, a < b) and merge the components that links join.
+
+        ``least`` is the estimate below which a pair of large sets is passed over; by default the one that no
+        pair at the threshold falls below by chance.
+        """
+        pairs = cut(pairs.distinct().join(self.known, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return
         side = lambda s: self.classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("vals").alias(f"v{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         union = F.array_sort(F.array_union("va", "vb"))
-        whole = F.greatest("na", "nb") <= K
-        union = F.when(whole, union).otherwise(F.slice(union, 1, K))
+        union = F.when(F.greatest("na", "nb") <= K, union).otherwise(F.slice(union, 1, K))
         overlap = F.size(F.array_intersect(F.array_intersect("va", "vb"), union))
         t = self.percent / 100
-        least = F.when(whole, t - 1e-9).otherwise(t - 5 * math.sqrt(t * (1 - t) / K))
-        near = cut(both.filter(overlap / F.size(union) >= least).select("a", "b"))
-        ids = cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        near = cut(both.filter(overlap / F.size(union) >= (t - 5 * math.sqrt(t * (1 - t) / K) if least is None else least)).select("a", "b"))
+        side = lambda s: self.sets.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("vals").alias(f"v{s}"))
+        inter = F.size(F.array_intersect("va", "vb"))
+        full = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", inter.alias("common"))
+        full = cut(full.withColumn("link", 100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))))
+        self.known = self.known.union(full.select("a", "b", "common"))
+        self.labels = merge(self.labels, full.filter("link").select("a", "b"))
+
+    def whole_sets(self, ids: DataFrame) -> DataFrame:
+        """(cls, n, vals) of the classes (cls): their whole sets."""
         few = ids.count() <= BROADCAST_IDS
+        ids = ids.select(F.col("cls").alias("doc_id"))
         texts = common.text_of(self.docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
         sets = texts.mapInArrow(_sets(self.words, None), _SCHEMA)
         own = self.classes.select(F.col("cls").alias("doc_id"), "key")  # a repeated id may stand for another set
-        sets = cut(sets.join(own, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "vals"))
-        side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("vals").alias(f"v{s}"))
-        full = near.join(side("b"), "b").join(side("a"), "a")
-        inter = F.size(F.array_intersect("va", "vb"))
-        links = full.filter(100 * inter >= self.percent * (F.col("na") + F.col("nb") - inter)).select("a", "b")
-        self.labels = merge(self.labels, links)
-
-    def open_lists(self, lists: DataFrame) -> DataFrame:
-        """Lists (v, cls, n) that still span several components, with those and the list's length."""
+        return sets.join(own, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "n", "vals")
+
+    def against_pivots(self, lists: DataFrame) -> DataFrame:
+        """Compare each list (v, cls, n, m, hub, pre) with its pivot. The rows of lists that then still span several
+        components, with label, what the member shares with the pivot (i, null where unknown) and the list's size."""
+        pivot = lists.groupBy("v").agg(F.max(F.struct("hub", (-F.col("cls")).alias("m"), "n")).alias("p"))
+        rows = lists.join(pivot, "v").withColumns({"a": F.least("cls", -F.col("p.m")), "b": F.greatest("cls", -F.col("p.m"))})
+        rows = cut(rows.withColumn("fits", self.fits("n", "p.n")).drop("p", "hub"))
+        self.confirm(rows.filter("a < b and fits").select("a", "b"), PIVOT_LEAST)
         own = self.labels.select(F.col("node").alias("cls"), "label")
-        lists = lists.join(own, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-        return cut(lists.join(mixed.select("v", "size"), "v"))
-
-    def stars(self, lists: DataFrame) -> DataFrame:
-        pivot = lists.groupBy("v").agg(F.min(F.struct("cls", "n")).alias("p"))
-        rows = lists.join(pivot, "v").filter(F.col("cls") != F.col("p.cls")).filter(self.fits("n", "p.n"))
-        return rows.select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
-
-    def all_pairs(self, lists: DataFrame) -> DataFrame:
-        """Pairs of one list that are in different components and near enough in size."""
-        other = lists.select("v", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        rows = lists.join(other, "v").filter((F.col("cls") < F.col("b")) & (F.col("label") != F.col("lb"))).filter(self.fits("n", "nb"))
-        return rows.select(F.col("cls").alias("a"), "b")
-
-    def split(self, lists: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """Long lists by a second value that two members as alike as asked for share besides the first."""
-        rows = lists.select("v", "cls").join(prefixes.select("cls", "n", "listed"), "cls")
-        rows = rows.select("v", "cls", "n", F.explode("listed").alias("w"))
-        rows = rows.filter(F.col("v") != F.xxhash64("w"))
-        return rows.select(F.xxhash64("v", F.xxhash64("w")).alias("v"), "cls", "n")
+        rows = rows.join(own, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        mixed = rows.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+        rows = rows.join(mixed.select("v", "size"), "v").join(self.known, ["a", "b"], "left")
+        return cut(rows.select("v", "cls", "n", "m", "pre", "label", "size", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.col("common")).alias("i")))
+
+    def open_pairs(self, rows: DataFrame, first: bool) -> DataFrame:
+        """Pairs of one list that may be links between components; if ``first``, each in its first list only."""
+        other = rows.select("v", *(F.col(c).alias(f"{c}_") for c in ("cls", "n", "m", "pre", "label", "i")))
+        on = (F.col("cls") < F.col("cls_")) & (F.col("label") != F.col("label_")) & self.fits("n", "n_")
+        most = F.least("i", "i_") + F.least(F.col("m") - F.col("i"), F.col("m_") - F.col("i_"))
+        enough = (100 + self.percent) * most >= self.percent * (F.col("n") + F.col("n_"))
+        on = on & F.coalesce(enough | F.col("i").isNull() | F.col("i_").isNull(), F.lit(True))
+        if first:
+            on = on & (F.element_at(F.array_intersect("pre", "pre_"), 1) == F.col("v"))
+        return rows.join(other, "v").filter(on).select(F.col("cls").alias("a"), F.col("cls_").alias("b"))
+
+    def split(self, rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+        """Lists by a second value that two members as alike as asked for share besides the first."""
+        rows = rows.select("v", "cls").join(prefixes, "cls").select("v", "cls", "n", "m", "hub", F.col("listed").alias("pre"), F.explode("listed").alias("w"))
+        return rows.filter("v <> w").select(F.xxhash64(F.least("v", "w"), F.greatest("v", "w")).alias("v"), "cls", "n", "m", "hub", "pre")
 
     def run(self) -> DataFrame:
         prefixes = cut(self.prefixes())
-        lists = prefixes.select(F.explode(F.slice("listed", 1, F.col("take"))).alias("w"), "cls", "n").select(F.xxhash64("w").alias("v"), "cls", "n")
-        lists = cut(lists)
+        self.sets = cut(self.whole_sets(prefixes.select("cls")))
+        vals = self.sets.select("cls", F.explode("vals").alias("v"))
+        shared = vals.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+        m = vals.join(shared, "v").groupBy("cls").agg(F.count("*").cast("int").alias("m"))
+        prefixes = cut(prefixes.join(m, "cls").filter(100 * F.col("m") >= self.percent * F.col("n")))
+        pre = F.slice("listed", 1, F.col("take"))
+        lists = prefixes.select("cls", "n", "m", "hub", pre.alias("pre"), F.explode(pre).alias("v"))
         for depth in range(DEPTH + 1):
-            self.confirm(self.stars(lists))
-            lists = self.open_lists(lists)
-            short = lists.filter(F.col("size") <= SHORT) if depth < DEPTH else lists
-            self.confirm(self.all_pairs(short))
-            lists = lists.filter(F.col("size") > SHORT)
-            if depth == DEPTH or lists.isEmpty():
-                break
-            lists = self.split(lists.select("v", "cls"), prefixes)
-        return self.labels
+            rows = self.against_pivots(cut(lists))
+            done = rows if depth == DEPTH else rows.filter(F.col("size") <= LONG)
+            self.confirm(self.open_pairs(done, first=depth == 0))
+            rest = rows.filter(F.col("size") > LONG)
+            if depth == DEPTH or rest.isEmpty():
+                return self.labels
+            lists = self.split(rest, prefixes)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
