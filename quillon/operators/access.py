@@ -12,6 +12,7 @@ from . import strict
 from . import subject_sets as sets
 from .filters import page, unexpired
 from .fixpoint import keep
+from .goals import Goals
 from .permissions import Planner, Unstratified
 
 ASKED = ["rid", "stype", "srel", "sid"]
@@ -27,13 +28,13 @@ def prepared(schema: Schema, rows: DataFrame, now_ns: int | None = None, context
 def check(schema: Schema, rows: DataFrame, type_: str, permission: str, asked: DataFrame) -> DataFrame:
     """asked (rid, stype, srel, sid) with verdict (member, caveated, notMember) and the missing inputs.
 
-    rows are ``prepared``. Equal questions are answered once; the root relation's scans are semi-joined with the
-    resources that are asked about. A subject that is the resource's own permission is a member.
+    rows are ``prepared``. Equal questions are answered once; what is asked goes down the permission (see
+    ``goals``). A subject that is the resource's own permission is a member.
     """
     todo = asked.select(*ASKED).distinct()
     try:
-        view = Planner(schema, rows, within=todo).view(type_, permission, root=True)
-        out = sets.granted(view, todo) if not view.empty else todo.withColumn("k", k3.none())
+        found = Goals(schema, rows).granted(type_, permission, todo)
+        out = todo.join(found, ASKED, "left") if found is not None else todo.withColumn("k", k3.none())
     except Unstratified:
         out = strict.checked(schema, rows, type_, permission, todo, STRICT_ROWS)
     own = (F.col("stype") == type_) & (F.col("sid") == F.col("rid")) & (F.col("srel") == permission)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +11,23 @@ from pyspark.sql import functions as F
 from ..model import MAX_DEPTH, DepthError
 
 
-def ensure_folder(spark: SparkSession) -> None:
-    """The cluster names the shared checkpoint folder in spark.checkpoint.dir; only without it a local one is made."""
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster names the shared folder in spark.checkpoint.dir; only without it a local one is made."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Run once and keep the rows in the shared folder, so that a lost executor costs no recomputation."""
-    ensure_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Run once and read the rows back from a table in the shared folder, so that plans stay short and a lost
+    executor costs no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
