@@ -31,9 +31,10 @@ def check(schema: Schema, rows: DataFrame, type_: str, permission: str, asked: D
     rows are ``prepared``. Equal questions are answered once; what is asked goes down the permission (see
     ``goals``). A subject that is the resource's own permission is a member.
     """
-    todo = asked.select(*ASKED).distinct()
+    todo = keep(asked.select(*ASKED).distinct())
     try:
-        found = Goals(schema, rows).granted(type_, permission, todo)
+        plain = not graph.may_hold(schema, {(type_, permission)})[1]
+        found = Goals(schema, rows, plain).granted(type_, permission, todo)
         out = todo.join(found, ASKED, "left") if found is not None else todo.withColumn("k", k3.none())
     except Unstratified:
         out = strict.checked(schema, rows, type_, permission, todo, STRICT_ROWS)

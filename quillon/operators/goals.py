@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 from ..functions import k3
 from ..model import ELLIPSIS, WILDCARD, Arrow, Itself, Nil, Ref, Schema
 from . import subject_sets as sets
+from .fixpoint import keep
 from .permissions import Planner
 
 GOAL = ["rid", "stype", "srel", "sid"]
 
 
 class Goals:
-    def __init__(self, schema: Schema, rows: DataFrame) -> None:
-        self.schema, self.planner = schema, Planner(schema, rows)
+    """plain: no tuple that matters has a condition, so entries need no aggregation and set steps are semi-joins."""
+
+    def __init__(self, schema: Schema, rows: DataFrame, plain: bool = False) -> None:
+        self.schema, self.planner, self.plain = schema, Planner(schema, rows), plain
 
     def granted(self, type_: str, rel: str, goals: DataFrame) -> DataFrame | None:
         """The goals (rid, stype, srel, sid) that have an entry ``k``; None if none can have one."""
@@ -50,6 +53,8 @@ class Goals:
         if not parts:
             return None
         rows = reduce(DataFrame.unionByName, parts)
+        if self.plain:
+            return rows.select(*GOAL).distinct().withColumn("k", k3.always())
         return rows.groupBy(*GOAL).agg(k3.any_of(F.col("k")).alias("k"))
 
     def _own(self, t: str, r: str, goals: DataFrame) -> DataFrame:
@@ -59,11 +64,11 @@ class Goals:
     def _below(self, t: str, r: str, goals: DataFrame, through: DataFrame, every: bool = False) -> DataFrame | None:
         """Goals that a target (through: rid, target, k) grants, one row a target."""
         step = goals.join(through.withColumnRenamed("k", "k_t"), "rid")
-        inner = step.select(F.col("target").alias("rid"), "stype", "srel", "sid").distinct()
+        inner = keep(step.select(F.col("target").alias("rid"), "stype", "srel", "sid").distinct())  # read several times below
         found = self._any([self.granted(t, r, inner), self._own(t, r, inner)])
         found = found.select(F.col("rid").alias("target"), "stype", "srel", "sid", F.col("k").alias("k_i"))
         out = step.join(found, ["target", "stype", "srel", "sid"])
-        out = out.withColumn("k", k3.and_(F.col("k_t"), F.col("k_i")))
+        out = out.withColumn("k", k3.always() if self.plain else k3.and_(F.col("k_t"), F.col("k_i")))
         return out.select(*GOAL, "k", F.concat(F.lit(f"{t}:"), "target").alias("target")) if every else out.select(*GOAL, "k")
 
     def _expr(self, type_: str, e, goals: DataFrame) -> DataFrame | None:
@@ -81,12 +86,14 @@ class Goals:
         for p in e.parts[1:]:
             if out is None:
                 return None
-            # later operands are asked only about what is left
+            out = keep(out)  # later operands are asked only about what is left
             other = self._expr(type_, p, out.select(*GOAL))
             if e.kind == "intersection":
                 if other is None:
                     return None
-                out = out.join(other.withColumnRenamed("k", "k_o"), GOAL).select(*GOAL, k3.and_(F.col("k"), F.col("k_o")).alias("k"))
+                out = out.join(other.select(*GOAL), GOAL, "left_semi") if self.plain else out.join(other.withColumnRenamed("k", "k_o"), GOAL).select(*GOAL, k3.and_(F.col("k"), F.col("k_o")).alias("k"))
+            elif other is not None and self.plain:
+                out = out.join(other.select(*GOAL), GOAL, "left_anti")
             elif other is not None:
                 out = out.join(other.withColumnRenamed("k", "k_o"), GOAL, "left").select(*GOAL, k3.minus(F.col("k"), F.col("k_o")).alias("k")).filter("k is not null")
         return out
@@ -99,7 +106,8 @@ class Goals:
         parts = []
         for t in sorted({a.type for a in over.allowed if not a.wildcard}):
             if self.schema.relation(t, e.name):
-                through = rows.filter(F.col("stype") == t).groupBy("rid", F.col("sid").alias("target")).agg(k3.any_of(F.col("k")).alias("k"))
+                own = rows.filter(F.col("stype") == t).select("rid", F.col("sid").alias("target"), "k")
+                through = own.select("rid", "target").distinct().withColumn("k", k3.always()) if self.plain else own.groupBy("rid", "target").agg(k3.any_of(F.col("k")).alias("k"))
                 parts.append(self._below(t, e.name, goals, through, e.every))
         parts = [p for p in parts if p is not None]
         if not e.every or not parts:

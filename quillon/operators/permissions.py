@@ -127,8 +127,8 @@ class Planner:
         for t in sorted({a.type for a in relation.allowed if not a.wildcard}):
             inner = self.view(t, expr.name)
             if not inner.empty:
-                through = rows.filter(F.col("stype") == t).groupBy("rid", F.col("sid").alias("target")).agg(k3.any_of(F.col("k")).alias("k"))
-                through = through if cond else through.select("rid", "target", k3.always().alias("k"))
+                own = rows.filter(F.col("stype") == t).select("rid", F.col("sid").alias("target"), "k")
+                through = own.groupBy("rid", "target").agg(k3.any_of(F.col("k")).alias("k")) if cond else own.select("rid", "target").distinct().withColumn("k", k3.always())
                 parts.append((t, inner, through))
         if not expr.every:
             return sets.union([self._joined(through, inner, cond) for _, inner, through in parts], self.spark)
