@@ -1,6 +1,7 @@
 """The scan against whole-text paths, a plain longest path, and the library's own unigram engine."""
 
 import random
+from array import array
 
 import numpy as np
 import pytest
@@ -27,7 +28,7 @@ def scan(v, text, chunk):
     parts = [(text[a : a + chunk + ahead], min(chunk, len(text) - a)) for a in range(0, len(text), chunk)]
     given = sp.worths(np.array([sp.transfer(v, *p) for p in parts]))
     at = sp.chained(np.array([sp.origins(v, *p, g) for p, g in zip(parts, given, strict=True)]))
-    return [i for p, b, e in zip(parts, at, at[1:], strict=False) for i in sp.backtrace(v, *p, b, e)]
+    return [i for p, b, e in zip(parts, at, at[1:], strict=False) for i in array("I", sp.backtrace(v, *p, b, e))]
 
 
 @pytest.fixture(scope="module")
