@@ -27,6 +27,8 @@ by decoding. Line ends and tabs are ordinary characters. Other columns are not r
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,8 +42,10 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 14
-MEMO, MEMO_LENGTH = 200_000, 48
+MEMO, MEMO_LENGTH = 300_000, 48
 SPACE = "▁"
+#: What lies between forced boundaries.
+STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 NEVER = -1e30
 #: What each byte of a character without a piece costs: more than any path of pieces gains.
 BYTE_COST = -1e7
@@ -66,7 +70,17 @@ class Vocabulary:
         self.reach = max(map(len, self.ids), default=1)
         #: No piece has a space after another character, so a space there starts a piece.
         self.bounded = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.memo: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self.memo: dict[str, bytes] = {}
+        #: The pieces as a trie of characters; under "" stands (score, id).
+        self.trie: dict = {}
+        for piece, hit in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = hit
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.text), np.uint8)
 
     def fallback(self, c: str) -> tuple[float, tuple[int, ...]]:
         data = c.replace(SPACE, " ").encode("utf-8", "surrogatepass")
@@ -96,35 +110,42 @@ class Vocabulary:
                     worth[end - begin], last[end - begin] = w, start
         return worth, last
 
-    def path(self, text: str) -> tuple[float, tuple[int, ...]]:
-        """Worth and ids of a whole stretch between boundaries."""
-        hit = self.memo.get(text)
-        if hit is None:
-            worth, back, ids = [0.0], [None], self.ids
-            reach = self.reach
-            for end in range(1, len(text) + 1):
-                top, step = NEVER, None
-                for start in range(end - reach if end > reach else 0, end):
-                    piece = ids.get(text[start:end])
-                    if piece and worth[start] + piece[0] > top:
-                        top, step = worth[start] + piece[0], (start, piece[1])
-                c = text[end - 1]
-                if c not in ids:
-                    cost, out = self.fallback(c)
-                    if worth[end - 1] + cost > top:
-                        top, step = worth[end - 1] + cost, (end - 1, out)
-                worth.append(top)
-                back.append(step)
-            out, at = [], len(text)
-            while at:
-                at, i = back[at]
-                out += i[::-1] if isinstance(i, tuple) else [i]
-            hit = (worth[-1], tuple(out[::-1]))
-            if len(text) <= MEMO_LENGTH:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[text] = hit
-        return hit
+    def solved(self, text: str) -> tuple[float, bytes]:
+        """Worth and ids, as 32-bit integers, of a whole stretch between boundaries."""
+        n, trie = len(text), self.trie
+        worth, back = [NEVER] * (n + 1), [None] * (n + 1)
+        worth[0] = 0.0
+        for start in range(n):  # ascending, so that of equal worths the longer last piece stays
+            w, node, at = worth[start], trie, start
+            while at < n:
+                node = node.get(text[at])
+                if node is None:
+                    break
+                at += 1
+                hit = node.get("")
+                if hit is not None and w + hit[0] > worth[at]:
+                    worth[at], back[at] = w + hit[0], (start, hit[1])
+            if text[start] not in self.ids:
+                cost, ids = self.fallback(text[start])
+                if w + cost > worth[start + 1]:
+                    worth[start + 1], back[start + 1] = w + cost, (start, ids)
+        out, at = [], n
+        while at:
+            at, i = back[at]
+            out += i[::-1] if isinstance(i, tuple) else (i,)
+        return worth[n], array("I", out[::-1]).tobytes()
+
+    def path(self, text: str) -> bytes:
+        """The ids of a stretch, remembered if it is short."""
+        ids = self.solved(text)[1]
+        if len(text) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[text] = ids
+        return ids
+
+    def stretches(self, text: str) -> list[str]:
+        return STRETCH.findall(text) if self.bounded else [text]
 
     def forced(self, text: str) -> list[int]:
         """Places inside the text where a piece must start."""
@@ -137,16 +158,14 @@ class Vocabulary:
             at = text.find(SPACE, at + 1)
         return out
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers, stretch by stretch."""
+        get, path = self.memo.get, self.path
+        return b"".join([get(x) or path(x) for x in self.stretches(text)])
+
     def whole(self, text: str) -> tuple[float, list[int]]:
-        """Worth and ids of a text, stretch by stretch."""
-        cuts = [0, *self.forced(text), len(text)]
-        worth, out, path, memo = 0.0, [], self.path, self.memo
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                w, ids = memo.get(text[a:b]) or path(text[a:b])
-                worth += w
-                out += ids
-        return worth, out
+        """Worth and ids of a text."""
+        return sum(self.solved(x)[0] for x in self.stretches(text)) if text else 0.0, array("I", self.packed(text)).tolist() if text else []
 
 
 def load(path: str) -> Vocabulary:
@@ -171,6 +190,21 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return b"".join(v.text[i] for i in ids).decode("utf-8", "surrogatepass")[1:]
 
 
+def decode_all(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The texts of many id lists, flat with offsets, as UTF-8."""
+    size = v.sizes[ids]
+    end = np.cumsum(size)
+    data = v.joined[np.repeat(v.starts[ids] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+    cuts = np.concatenate([[0], end])[at].tolist()
+    return [data[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def id_lists(packed: list[bytes]) -> pa.Array:
+    """An Arrow column of packed id lists."""
+    at = np.cumsum([0] + [len(b) // 4 for b in packed])
+    return common.lists(np.frombuffer(b"".join(packed), np.uint32).astype(np.int32), at, pa.int32())
+
+
 # ---- chunks
 
 
@@ -242,10 +276,9 @@ def chained(maps: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def backtrace(v: Vocabulary, text: str, size: int, begin: int, end: int) -> list[int]:
+def backtrace(v: Vocabulary, text: str, size: int, begin: int, end: int) -> bytes:
     """The ids of a chunk's pieces that start in it, between its two states."""
-    part = text[begin : size + end]
-    return v.whole(part)[1] if begin < size + end else []
+    return v.packed(text[begin : size + end]) if begin < size + end else b""
 
 
 # ---- DataFrames
@@ -282,8 +315,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model)
         for part, texts in common.steps(batches):
-            ids = [v.whole(escaped(t.decode("utf-8", "surrogatepass")))[1] for t in texts]
-            yield _batch(part, ["doc_id"], ids=pa.array(ids, ints), chunks=pa.array([1] * len(ids), pa.int32()))
+            ids = [v.packed(escaped(t.decode("utf-8", "surrogatepass"))) if t else b"" for t in texts]
+            yield _batch(part, ["doc_id"], ids=id_lists(ids), chunks=pa.array([1] * len(ids), pa.int32()))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model)
@@ -312,7 +345,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         v = load(model)
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("part", "size", "begin", "end")]
-            yield _batch(batch, ["row_id", "doc_id", "k"], ids=pa.array([backtrace(v, *c) for c in zip(*columns, strict=True)], ints))
+            yield _batch(batch, ["row_id", "doc_id", "k"], ids=id_lists([backtrace(v, *c) for c in zip(*columns, strict=True)]))
 
     long = F.length("text") >= chunk
     short = rows.filter(~long).mapInArrow(small, "doc_id long, ids array<int>, chunks int")
@@ -333,8 +366,12 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model)
         for batch in batches:
-            text = [decode(v, x or []) for x in batch.column(at).to_pylist()]
-            yield _batch(batch, batch.schema.names, decoded=pa.array(text, pa.string()))
+            ids = batch.column(at)
+            for i in range(0, len(ids), 256):
+                part = ids.slice(i, 256).fill_null([])
+                offsets = part.offsets.to_numpy() - part.offsets[0].as_py()
+                text = decode_all(v, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
+                yield _batch(batch.slice(i, 256), batch.schema.names, decoded=pa.array(text, pa.binary()).cast(pa.string()))
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
