@@ -1,6 +1,11 @@
-"""SentencePiece encoding and decoding as a max-plus parallel scan.
+"""SentencePiece encoding and decoding: merges between forced boundaries, or a max-plus parallel scan.
 
-A segmentation's worth is the sum of its pieces' scores, and the best one is a longest path. Between two
+The model file says which of the two it was made for. In a file of merges (BPE) the pair of neighbours whose
+joined piece has the best score, the leftmost of equals, is joined until none is left. No merge crosses two
+characters that no piece has side by side, so stretches between such places are merged on their own and texts
+of CHUNK characters or more become rows that end at one. A stretch without such a place is never cut.
+
+In a unigram file a segmentation's worth is the sum of its pieces' scores, and the best one is a longest path. Between two
 positions the best worths for all boundary states form a matrix over (max, +); matrices of neighbouring
 chunks combine associatively. A state at a cut says how many characters the piece across it reaches beyond.
 
@@ -17,9 +22,9 @@ Words repeat, so the path between two forced boundaries (before a space that fol
 has a space inside) is remembered by its text in a bounded table.
 
 Vocabulary and scores are read from a public model file, whose path is a parameter; scores are used as that
-file has them, characters without a piece become their UTF-8 bytes, and ties go to the longer last piece, and so on backwards. For unigram
-models this is the library's own rule; for a file whose scores are merge ranks the result is the best path
-over these scores, not the merge order, so ids can differ from the library's for such files. Decoding is exact.
+file has them, characters without a piece become their UTF-8 bytes, and ties of paths go to the longer last piece, and so on backwards.
+Both are the library's own rules. Files of other kinds, and files of merges with unused or user-defined pieces, are
+refused. Decoding is exact.
 
 Defined cases: a null or empty text has no ids. A leading space is put before every other text and taken away again
 by decoding. Line ends and tabs are ordinary characters. Other columns are not read.
@@ -27,6 +32,7 @@ by decoding. Line ends and tabs are ordinary characters. Other columns are not r
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -168,6 +174,139 @@ class Vocabulary:
         return sum(self.solved(x)[0] for x in self.stretches(text)) if text else 0.0, array("I", self.packed(text)).tolist() if text else []
 
 
+class Merges:
+    """Encoding by merges over the pieces of a vocabulary."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        self.scores = {piece: score for piece, (score, _) in v.ids.items()}
+        #: Characters that some piece has side by side: merges stay between all others.
+        self.inside = {p[i : i + 2] for p in v.ids for i in range(len(p) - 1)}
+        self.memo: dict[str, bytes] = {}
+
+    def joined(self, text: str) -> list[str]:
+        """The pieces of a short stretch."""
+        get, parts = self.scores.get, list(text)
+        worth = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while worth and (best := max(worth)) > NEVER:
+            i = worth.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del worth[i]
+            if i:
+                worth[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+            if i < len(worth):
+                worth[i] = get(parts[i] + parts[i + 1], NEVER)
+        return parts
+
+    def queued(self, text: str) -> list[str]:
+        """The pieces of a stretch of any length: the same merges from a heap over linked parts."""
+        get, parts, n = self.scores.get, list(text), len(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-s, i, 2) for i in range(n - 1) if (s := get(text[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
+                continue  # one of the two has been joined to another part since
+            parts[i] += parts[j]
+            parts[j], after[i] = "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (s := get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (-s, a, len(parts[a]) + len(parts[b])))
+        return [x for x in parts if x]
+
+    def cut(self, text: str, at: int) -> int:
+        """The first place from ``at`` on, or the end, that no merge crosses."""
+        while at < len(text) and text[at - 1 : at + 1] in self.inside:
+            at += 1
+        return min(at, len(text))
+
+    def path(self, text: str) -> bytes:
+        """The ids of a stretch, remembered if it is short."""
+        if len(text) > MEMO_LENGTH:
+            out, at = [], 0
+            while at < len(text):
+                end = self.cut(text, at + 1)
+                part = text[at:end]
+                out.append(self.coded(self.queued(part)) if len(part) > MEMO_LENGTH else self.memo.get(part) or self.path(part))
+                at = end
+            return b"".join(out)
+        ids = self.coded(self.joined(text))
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        self.memo[text] = ids
+        return ids
+
+    def coded(self, parts: list[str]) -> bytes:
+        out, get = array("I"), self.v.ids.get
+        for x in parts:
+            hit = get(x)
+            if hit:
+                out.append(hit[1])
+            else:
+                out.extend(self.v.fallback(x)[1])
+        return out.tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers, stretch by stretch."""
+        get, path = self.memo.get, self.path
+        return b"".join([get(x) or path(x) for x in self.v.stretches(text)])
+
+    def parts(self, text: str, limit: int) -> list[str]:
+        """The text cut into parts of ``limit`` characters, or as many more as merges may reach over."""
+        out, at = [], 0
+        while at < len(text):
+            end = self.cut(text, at + limit)
+            out.append(text[at:end])
+            at = end
+        return out
+
+
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at, out, shift = at + 1, out | (b & 127) << shift, shift + 7
+            if b < 128:
+                return out
+
+    at = 0
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or number()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def encoder(path: str) -> Vocabulary | Merges:
+    """What encodes as the model file's kind asks for."""
+    return _encoder(path)
+
+
+@cache
+def _encoder(path: str) -> Vocabulary | Merges:
+    with open(path, "rb") as f:
+        model = list(fields(f.read()))
+    kind = next((k for n, spec in model if n == 2 for m, k in fields(spec) if m == 3), 1)
+    if kind == 1:
+        return load(path)
+    if kind != 2:
+        raise ValueError(f"{path}: neither a unigram nor a merge model")
+    if any(m == 3 and x in (4, 5) for n, piece in model if n == 1 for m, x in fields(piece)):
+        raise ValueError(f"{path}: unused or user-defined pieces among merges")
+    return Merges(load(path))
+
+
 def load(path: str) -> Vocabulary:
     """The vocabulary of a SentencePiece model file."""
     return _loaded(path)
@@ -305,6 +444,22 @@ def _chunks(limit: int, ahead: int):
     return run
 
 
+def _stretched(limit: int, model: str):
+    """Arrow function: texts as rows that merges don't cross."""
+    kind = pa.schema([*KEYS, ("k", pa.int32()), ("part", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = encoder(model)
+        for batch in batches:
+            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "text")), strict=True):
+                found = v.parts(escaped(text), limit)
+                for i in range(0, len(found), 64):
+                    some = [(row, doc, i + j, x) for j, x in enumerate(found[i : i + 64])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kind, strict=True)], schema=kind)
+
+    return run
+
+
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids, chunks), one row for each row of ``docs``, also for rows of equal or null id."""
     common.prepare(docs.sparkSession)
@@ -313,7 +468,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     ints = pa.list_(pa.int32())
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = load(model)
+        v = encoder(model)
         for part, texts in common.steps(batches):
             ids = [v.packed(escaped(t.decode("utf-8", "surrogatepass"))) if t else b"" for t in texts]
             yield _batch(part, ["doc_id"], ids=id_lists(ids), chunks=pa.array([1] * len(ids), pa.int32()))
@@ -347,16 +502,27 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
             columns = [batch.column(c).to_pylist() for c in ("part", "size", "begin", "end")]
             yield _batch(batch, ["row_id", "doc_id", "k"], ids=id_lists([backtrace(v, *c) for c in zip(*columns, strict=True)]))
 
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = encoder(model)
+        for batch in batches:
+            yield _batch(batch, ["row_id", "doc_id", "k"], ids=id_lists([v.packed(t) for t in batch.column("part").to_pylist()]))
+
+    def together(found: DataFrame) -> DataFrame:
+        found = found.groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("l"))
+        found = found.select("doc_id", F.flatten(F.transform("l", lambda x: x["ids"])).alias("ids"), F.size("l").alias("chunks"))
+        return short.unionByName(found)
+
     long = F.length("text") >= chunk
     short = rows.filter(~long).mapInArrow(small, "doc_id long, ids array<int>, chunks int")
+    if isinstance(encoder(model), Merges):
+        parts = rows.filter(long).mapInArrow(_stretched(chunk, model), "row_id long, doc_id long, k int, part string")
+        return together(parts.repartition("row_id", "k").mapInArrow(merged, "row_id long, doc_id long, k int, ids array<int>"))
     parts = rows.filter(long).mapInArrow(_chunks(chunk, reach - 1), "row_id long, doc_id long, k int, part string, size int")
     given = parts.mapInArrow(matrices, "row_id long, k int, m binary").groupBy("row_id").applyInArrow(scanned, "row_id long, k int, given binary")
     maps = parts.join(given, ["row_id", "k"]).mapInArrow(mapped, "row_id long, k int, m array<int>")
     cuts = maps.groupBy("row_id").applyInArrow(settled, "row_id long, k int, begin int, end int")
     found = parts.join(cuts, ["row_id", "k"]).mapInArrow(pieces, "row_id long, doc_id long, k int, ids array<int>")
-    found = found.groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("l"))
-    found = found.select("doc_id", F.flatten(F.transform("l", lambda x: x["ids"])).alias("ids"), F.size("l").alias("chunks"))
-    return short.unionByName(found)
+    return together(found)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -75,3 +75,41 @@ def test_round_trip_and_chunks_in_spark(spark, tmp_path):
     assert sorted(r["decoded"] for r in chunked) == sorted(t or "" for t in texts)
     assert max(r["chunks"] for r in chunked) > 100
     assert sp.encode(frame(spark, [])).count() == 0
+
+
+def test_merges_equal_the_library_on_the_file_as_it_is(spark):
+    import sentencepiece
+
+    engine = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    r = random.Random(8)
+    texts = [*HARD, *noise(7, 60), "the international  evaluation\nof         wörds 日本語 \U0001f600!", "".join(r.choice("abcdé") for _ in range(4000)), " " * 3000 + "x"]
+    v = sp.encoder(sp.MODEL)
+    for t in texts:
+        t = t or ""
+        want = engine.encode(t)
+        assert array("I", v.packed(sp.escaped(t))).tolist() == want, t[:50]
+        assert [x for part in v.parts(sp.escaped(t), 100) for x in array("I", v.packed(part))] == want
+        assert sp.decode(v.v, want) == t
+    for t in texts[-3:]:
+        assert v.queued(sp.escaped(t)[:200]) == v.joined(sp.escaped(t)[:200])
+    got = sp.encode(frame(spark, texts), chunk=256).collect()
+    assert {x["doc_id"]: x["ids"] for x in got} == {i: engine.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_unigram_files_still_take_the_scan(spark, tmp_path):
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    m = pb.ModelProto()
+    with open(sp.MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = 1
+    (tmp_path / "unigram.model").write_bytes(m.SerializeToString())
+    engine = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "unigram.model"))
+    texts = noise(6, 10) + ["international evaluation " * 40]
+    got = sp.encode(frame(spark, texts), model=str(tmp_path / "unigram.model"), chunk=256).collect()
+    assert {x["doc_id"]: x["ids"] for x in got} == {i: engine.encode(t) for i, t in enumerate(texts)}
+    m.trainer_spec.model_type = 3
+    (tmp_path / "word.model").write_bytes(m.SerializeToString())
+    with pytest.raises(ValueError):
+        sp.encoder(str(tmp_path / "word.model"))
