@@ -26,6 +26,8 @@ from .common import cut
 WEIGHTS, LIMIT = (1, 2, 3), 3
 #: Hex digits of md5 that name a document's hash range: 4,096 ranges a source.
 DIGITS = 3
+#: Cells that may be broadcast to the documents (about 100 bytes each); beyond, a shuffled join takes its place.
+BROADCAST_CELLS = 100_000
 #: Newton stops at this relative error of every constraint, or after so many iterations.
 TOLERANCE, ITERATIONS = 1e-12, 60
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,12 +80,16 @@ def balance(cells: DataFrame, goal: DataFrame) -> DataFrame:
     return lam.select("source", "lam")
 
 
-def mix(docs: DataFrame, source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of ``docs``."""
-    common.prepare(docs.sparkSession)
+def measured(docs: DataFrame, source: str, *more: Column) -> DataFrame:
+    """(source, size, digest, cell) and more for each row of ``docs``."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = cut(docs.select("doc_id", F.col(source).alias("source"), words_of(F.col("text")).alias("size"), digest.alias("digest")))
-    rows = rows.withColumn("cell", F.substring("digest", 1, DIGITS))
+    rows = docs.select(F.col(source).alias("source"), words_of(F.col("text")).alias("size"), digest.alias("digest"), *more)
+    return rows.withColumn("cell", F.substring("digest", 1, DIGITS))
+
+
+def ranges(rows: DataFrame) -> DataFrame:
+    """(s, c, source_size, target, whole, rest, below, extra) for each source and cell; extra is null where the
+    source's remainder runs out."""
     cells = cut(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")))
     goal = cut(targets(cells.groupBy("source").agg(F.sum("words").alias("source_size"))))
     lam = balance(cells, goal)
@@ -97,24 +103,50 @@ def mix(docs: DataFrame, source: str = "source") -> DataFrame:
     cells = cells.withColumnRenamed("source", "s").join(rates, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     full = F.col("below") + F.col("words") <= F.col("rest")
     cells = cells.select("source", "cell", "source_size", "target", "whole", "rest", "below", F.when(full, 1).when(F.col("below") >= F.col("rest"), 0).alias("extra"))
-    cells = cut(cells).withColumnsRenamed({"source": "s", "cell": "c"})
-    rows = rows.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
-    decided = rows.filter(F.col("extra").isNotNull())
+    return cut(cells).withColumnsRenamed({"source": "s", "cell": "c"})
+
+
+def placed(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """The rows with what their cell has."""
+    return rows.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows of the cells where a remainder runs out, each with its own ``extra``."""
     order = Window.partitionBy("source", "cell").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = rows.filter(F.col("extra").isNull()).withColumn("before", F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    open_ = open_.withColumn("extra", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")).cast("int")).drop("before")
-    rows = decided.unionByName(open_)
-    copies = F.least(F.lit(LIMIT), F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0)).cast("int")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    rows = rows.withColumn("before", F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    return rows.withColumn("extra", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")).cast("int")).drop("before")
+
+
+def copies() -> Column:
+    return F.least(F.lit(LIMIT), F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, source: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of ``docs``."""
+    common.prepare(docs.sparkSession)
+    rows = cut(measured(docs, source, F.col("doc_id")))
+    rows = placed(rows, ranges(rows))
+    rows = rows.filter(F.col("extra").isNotNull()).unionByName(settled(rows.filter(F.col("extra").isNull())))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their columns; a document it leaves out is gone."""
-    n = mix(docs).select(F.col("doc_id").alias("mix_id"), "copies").filter("copies > 0")
-    # rows that share an id have been decided one by one; here each takes the average of its id's decisions
-    n = n.groupBy("mix_id").agg(F.ceil(F.avg("copies")).cast("int").alias("mix_copies"))
-    rows = docs.join(n, F.col("doc_id") == F.col("mix_id"))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select(*docs.columns)
+    """The documents as often as the mix takes them, with their columns; a document it leaves out is gone.
+
+    Rows carry their columns along and are decided one by one as in ``mix``, whatever their ids. Only those that have
+    to be ordered are kept in between; they are ordered without their columns.
+    """
+    common.prepare(docs.sparkSession)
+    rows = measured(docs, "source", F.struct("*").alias("row"))
+    cells = ranges(rows.drop("row"))
+    few = cells.count() <= BROADCAST_CELLS
+    rows = placed(rows, F.broadcast(cells) if few else cells)
+    decided = rows.filter(F.col("extra").isNotNull()).select("row", copies().alias("n"))
+    open_ = cut(rows.filter(F.col("extra").isNull()).withColumn("at", F.monotonically_increasing_id()))
+    own = settled(open_.drop("row")).select("at", copies().alias("n"))
+    rows = decided.unionByName(open_.select("at", "row").join(own, "at").select("row", "n")).filter("n > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
