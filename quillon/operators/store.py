@@ -180,9 +180,13 @@ class Store:
             self.schemas.append((revision, schema_hash(compile_schema(c.schema)), c.schema))
         if c.counters:
             self.counters = keep(self.counters.union(self.spark.createDataFrame([(revision, k, v) for k, v in c.counters.items()], self.counters.schema)))
+        self.logged(revision, changed)
+        return revision, deleted, reached
+
+    def logged(self, revision: int, changed: bool = False) -> None:
+        """Make ``revision`` the head, with its changes in the log."""
         log = changes_at(self.rows, revision - 1, revision).select("rev", F.lit(0).alias("seq"), "op", *TUPLES.names, F.lit(changed).alias("schema_changed"), F.lit(None).cast("string").alias("tx_metadata"))
         self.log, self.head = keep(self.log.unionByName(log)), revision
-        return revision, deleted, reached
 
     def bulk_import(self, tuples: DataFrame, now_ns: int | None = None) -> int:
         """All rows in one revision; any key that is there twice or already refuses the whole."""
@@ -190,7 +194,8 @@ class Store:
         if bad := conflicts(self.live(), updates).first():
             raise Conflict(f"{bad['resource_type']}:{bad['resource_id']}: {bad['why']}")
         revision = max(time.time_ns() if now_ns is None else now_ns, self.head + 1)
-        self.rows, self.head = keep(self.rows.unionByName(updates.drop("op").withColumns({"created_rev": F.lit(revision).cast("long"), "deleted_rev": F.lit(None).cast("long")}))), revision
+        self.rows = keep(self.rows.unionByName(updates.drop("op").withColumns({"created_rev": F.lit(revision).cast("long"), "deleted_rev": F.lit(None).cast("long")})))
+        self.logged(revision)
         return revision
 
     def collect_garbage(self, floor: int) -> None:
