@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once (a longer document is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 19
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, and make sure that a checkpoint folder exists.
+    """Bound the session's Arrow batches by bytes, and make sure that a checkpoint folder exists.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; only where it is unset (tests, notebooks)
-    a local folder is made.
+    The cluster names the shared folder in ``spark.checkpoint.dir``; only where it is unset and all runs on one
+    machine (tests, notebooks) a local folder is made.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
 
 
+def lean(run: Callable) -> Callable:
+    """An Arrow function that, when its task ends, gives the worker's free memory back to the system.
+
+    Workers outlive tasks; without this each keeps the most that any task of the session ever needed.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return bounded
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     prepare(spark)

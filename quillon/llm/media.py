@@ -26,6 +26,8 @@ from . import common
 UNIT, HOP, RATE = 192, 96, 8000
 #: Peaks that each frame may give, and later peaks that each is paired with.
 PEAKS, FAN = 2, 3
+#: Frames that are transformed at once.
+FRAMES = 2048
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary, pairs array<long>"
 
 
@@ -49,6 +51,29 @@ def load(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def peaks(data: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(frame, bin) of the peaks, FRAMES frames at a time. owner: the sound of each hop of ``data``."""
+    frames = np.lib.stride_tricks.sliding_window_view(data, UNIT)[::HOP]
+    window = np.hanning(UNIT + 1)[:-1].astype(np.float32)
+    inside = np.flatnonzero(owner[:-1] == owner[1:])  # a frame covers two hops of one sound
+    for i in range(0, len(inside), FRAMES):
+        low, high = max(0, i - 1), min(len(inside), i + FRAMES + 1)  # one frame more on both sides
+        at = inside[low:high]
+        block = frames[at].astype(np.float32) - 128
+        mag = np.abs(np.fft.rfft((block - block.mean(1, keepdims=True)) * window, axis=1)).astype(np.float32)
+        peak = np.zeros(mag.shape, bool)
+        peak[:, 1:-1] = (mag[:, 1:-1] > mag[:, :-2] + 1e-3) & (mag[:, 1:-1] > mag[:, 2:] + 1e-3)
+        same = owner[at[1:]] == owner[at[:-1]]
+        peak[1:] &= ~same[:, None] | (mag[1:] >= mag[:-1])
+        peak[:-1] &= ~same[:, None] | (mag[:-1] >= mag[1:])
+        own = slice(i - low, min(len(inside), i + FRAMES) - low)
+        strength = np.where(peak[own], mag[own], -1)
+        top = np.argpartition(-strength, PEAKS, axis=1)[:, :PEAKS]
+        top.sort(axis=1)
+        frame, col = np.nonzero(np.take_along_axis(strength, top, 1) > 0)
+        yield at[own][frame], top[frame, col]
+
+
 def peak_pairs(samples: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Time-coded pairs of each sound, flat, and offsets.
 
@@ -58,28 +83,11 @@ def peak_pairs(samples: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     | frames between.
     """
     sizes = np.array([len(s) for s in samples]) // HOP
-    data = np.frombuffer(b"".join(samples), np.uint8).astype(np.float32) - 128
-    frames = np.lib.stride_tricks.sliding_window_view(data, UNIT)[::HOP]
     owner = np.repeat(np.arange(len(samples)), sizes)
-    inside = owner[:-1] == owner[1:]  # a frame covers two hops of one sound
-    frames, owner = frames[inside], owner[:-1][inside]
-    window = np.hanning(UNIT + 1)[:-1].astype(np.float32)
-    mag = np.empty((len(frames), UNIT // 2 + 1), np.float32)
-    for i in range(0, len(frames), 4096):
-        mag[i : i + 4096] = np.abs(np.fft.rfft((frames[i : i + 4096] - frames[i : i + 4096].mean(1, keepdims=True)) * window, axis=1))
-    peak = np.zeros(mag.shape, bool)
-    peak[:, 1:-1] = (mag[:, 1:-1] > mag[:, :-2] + 1e-3) & (mag[:, 1:-1] > mag[:, 2:] + 1e-3)
-    same = owner[1:] == owner[:-1]
-    peak[1:] &= ~same[:, None] | (mag[1:] >= mag[:-1])
-    peak[:-1] &= ~same[:, None] | (mag[:-1] >= mag[1:])
-    strength = np.where(peak, mag, -1)
-    top = np.argpartition(-strength, PEAKS, axis=1)[:, :PEAKS]
-    top.sort(axis=1)
-    frame, col = np.nonzero(np.take_along_axis(strength, top, 1) > 0)
-    freq = top[frame, col]
+    found = [*zip(*peaks(np.frombuffer(b"".join(samples), np.uint8), owner), strict=True)] or [[np.zeros(0, np.int64)]] * 2
+    frame, freq = map(np.concatenate, found)
     who = owner[frame]
-    first = np.searchsorted(owner, np.arange(len(samples)))
-    t = frame - first[who]
+    t = frame - (np.cumsum(sizes) - sizes)[who]
     parts, order = [], []
     n = len(frame)
     for step in range(1, FAN + 1):
@@ -119,10 +127,10 @@ def _rows(keep_media: bool):
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """One row per document: sizes and digests, the WAV file itself if asked for, and the peak pairs."""
     common.prepare(docs.sparkSession)
-    return common.text_of(docs).mapInArrow(_rows(keep_media), SCHEMA)
+    return common.text_of(docs).mapInArrow(common.lean(_rows(keep_media)), SCHEMA)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media_columns(common.documents(spark, sf_dir), keep_media=False)
     feature = F.concat(F.size("pairs").cast("string"), F.lit(":"), F.sha2(F.concat_ws(",", F.transform("pairs", lambda x: x.cast("string"))), 256))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "pairs")
