@@ -14,6 +14,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
 _POWERS: dict[int, np.ndarray] = {}
 #: Odd multipliers for the places of a window.
 PLACES = np.random.default_rng(20240608).integers(0, 1 << 63, 16, dtype=np.uint64) | U(1)
@@ -31,25 +33,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        steps = np.full(1 << max(16, (n - 1).bit_length()), base, U)
+        steps = np.full(max(BLOCK, n), base, U)
         steps[0] = 1
-        have = _POWERS[base] = np.cumprod(steps, dtype=U)
+        have = np.cumprod(steps, dtype=U)
+        if len(have) == BLOCK:
+            _POWERS[base] = have
     return have[:n]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets): the words of text i are ``hashes[offsets[i]:offsets[i + 1]]``."""
+    """(hash of each word, offsets): the words of text i are ``hashes[offsets[i]:offsets[i + 1]]``.
+
+    Words are hashed in blocks of BLOCK bytes (a longer word is a block of its own), so what a step needs besides
+    its result doesn't grow with a document.
+    """
     if not texts:
         return np.zeros(0, U), np.zeros(1, np.int64)
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
     start, end = edge[::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_CODES[data] * _powers(_BASE, len(data)), out=sums[1:])
-    h = (sums[end] - sums[start]) * _powers(_INV, len(data))[start]
-    return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93)), np.searchsorted(start, begins)
+    out, i = np.empty(len(start), U), 0
+    while i < len(start):
+        low = start[i]
+        j = max(i + 1, int(np.searchsorted(end, low + BLOCK, "right")))
+        block = data[low : end[j - 1]]
+        sums = np.zeros(len(block) + 1, U)
+        np.cumsum(_CODES[block] * _powers(_BASE, len(block)), out=sums[1:])
+        a, b = start[i:j] - low, end[i:j] - low
+        out[i:j] = mix((sums[b] - sums[a]) * _powers(_INV, len(block))[a] + (b - a).astype(U) * U(0xD6E8FEB86659FD93))
+        i = j
+    return out, np.searchsorted(start, begins)
 
 
 def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
