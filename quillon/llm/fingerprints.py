@@ -147,7 +147,7 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """The rank of each pair count, the rarest in the corpus first."""
-    rows = common.text_of(docs).mapInArrow(_histogram, "pairs long, n long").groupBy("pairs").agg(F.sum("n").alias("n")).collect()
+    rows = common.text_of(docs).mapInArrow(common.lean(_histogram), "pairs long, n long").groupBy("pairs").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(UNIFORM + 1, np.int64)
     for r in rows:
         n[r["pairs"]] = r["n"]
@@ -234,7 +234,7 @@ def _compare(ranks: np.ndarray):
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its edited text, and how alike they and the next document are."""
     common.prepare(docs.sparkSession)
-    return with_next(docs).mapInArrow(_compare(rarity(docs)), SCHEMA)
+    return with_next(docs).mapInArrow(common.lean(_compare(rarity(docs))), SCHEMA)
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

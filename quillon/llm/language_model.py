@@ -260,9 +260,9 @@ def train(docs: DataFrame, where: Column | None = None) -> Model:
     base = f"{common.shared_dir(spark)}/quillon-lm-{uuid.uuid4().hex}"
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = common.text_of(docs if where is None else docs.filter(where)).select("text")
-    counts = rows.mapInArrow(_count(shards), "shard int, pair boolean, key long, n long")
-    stats = counts.repartitionById(shards, F.col("shard")).mapInArrow(_write_pairs(base, shards), "shard int, print long, " + ", ".join(f"{c} long" for c in (*STATS, *(f"sum_{x}" for x in SUMS))))
-    sums = stats.repartitionById(shards, F.col("shard")).mapInArrow(_write_words(base), ", ".join(f"{c} long" for c in (*SUMS, *(f"w{i}" for i in range(6)))))
+    counts = rows.mapInArrow(common.lean(_count(shards)), "shard int, pair boolean, key long, n long")
+    stats = counts.repartitionById(shards, F.col("shard")).mapInArrow(common.lean(_write_pairs(base, shards)), "shard int, print long, " + ", ".join(f"{c} long" for c in (*STATS, *(f"sum_{x}" for x in SUMS))))
+    sums = stats.repartitionById(shards, F.col("shard")).mapInArrow(common.lean(_write_words(base)), ", ".join(f"{c} long" for c in (*SUMS, *(f"w{i}" for i in range(6)))))
     total = sums.groupBy().sum().first()
     return Model(base, shards, {c: int(total[f"sum({c})"] or 0) for c in (*SUMS, *(f"w{i}" for i in range(6)))})
 
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
-    return common.text_of(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return common.text_of(docs).mapInArrow(common.lean(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,11 +167,11 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     """Word vectors, network and temperature from a bounded sample of the labelled rows that ``where`` admits."""
     rows = labelled.sample(docs, labels, "quality", where, FIT_ROWS)
-    top = rows.select("text").mapInArrow(_frequent, "crc long, n long").groupBy("crc").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "crc").limit(VOCABULARY)
+    top = rows.select("text").mapInArrow(common.lean(_frequent), "crc long, n long").groupBy("crc").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "crc").limit(VOCABULARY)
     vocabulary = np.sort(np.array([r["crc"] for r in top.collect()], np.uint32))
     word_vectors = np.zeros((0, DIM), np.float32)
     if len(vocabulary):
-        sums = sum(np.frombuffer(r["sums"]) for r in rows.select("text").mapInArrow(_contexts(vocabulary), "sums binary").collect())
+        sums = sum(np.frombuffer(r["sums"]) for r in rows.select("text").mapInArrow(common.lean(_contexts(vocabulary)), "sums binary").collect())
         word_vectors = sums.reshape(-1, DIM)
         word_vectors = (word_vectors / (np.linalg.norm(word_vectors, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column) -> Model | None:
             x = vectors(texts, vocabulary, word_vectors)
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), part.column("label"), part.column("part")], names=["x", "label", "part"])
 
-    seen = sorted(rows.mapInArrow(measured, "x binary, label int, part int").collect(), key=lambda r: (r["part"], r["label"], r["x"]))
+    seen = sorted(rows.mapInArrow(common.lean(measured), "x binary, label int, part int").collect(), key=lambda r: (r["part"], r["label"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in seen]).reshape(-1, SIZE)
     y, part = np.array([r["label"] for r in seen], float), np.array([r["part"] for r in seen])
     fit = part < 8
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             got = model.score(texts) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(got.astype(np.float64))], names=["doc_id", "score"])
 
-    return common.text_of(docs).mapInArrow(run, "doc_id long, score double")
+    return common.text_of(docs).mapInArrow(common.lean(run), "doc_id long, score double")
 
 
 def learners() -> Column:

@@ -112,7 +112,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, found): the spans of each document."""
     common.prepare(docs.sparkSession)
-    return common.text_of(docs).mapInArrow(_scan, f"doc_id long, found {SPANS}")
+    return common.text_of(docs).mapInArrow(common.lean(_scan), f"doc_id long, found {SPANS}")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[n] = pa.array([None if t is None else len(t) for t in texts], columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(common.lean(run), kinds)
 
 
 def joined(spans, kinds: tuple[str, ...] | None = None):

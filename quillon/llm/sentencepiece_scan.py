@@ -36,7 +36,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 14
-MEMO, MEMO_LENGTH = 300_000, 48
+MEMO, MEMO_LENGTH = 100_000, 48
 SPACE = "▁"
 #: What lies between forced boundaries.
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -77,16 +77,20 @@ class Vocabulary:
         #: No piece has a space after another character, so a space there starts a piece.
         self.bounded = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.memo: dict[str, bytes] = {}
-        #: The pieces as a trie of characters; under "" stands (score, id).
-        self.trie: dict = {}
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.text), np.uint8)
+
+    @cached_property
+    def trie(self) -> dict:
+        """The pieces as a trie of characters; under "" stands (score, id)."""
+        root: dict = {}
         for piece, hit in self.ids.items():
-            node = self.trie
+            node = root
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = hit
-        self.sizes = np.array([len(t) for t in self.text], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.joined = np.frombuffer(b"".join(self.text), np.uint8)
+        return root
 
     def fallback(self, c: str) -> tuple[float, tuple[int, ...]]:
         data = c.replace(SPACE, " ").encode("utf-8", "surrogatepass")
@@ -463,7 +467,7 @@ def _stretched(limit: int, model: str):
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids, chunks), one row for each row of ``docs``, also for rows of equal or null id."""
     common.prepare(docs.sparkSession)
-    rows = common.text_of(docs).select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = common.text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     reach = load(model).reach
     ints = pa.list_(pa.int32())
 
@@ -513,15 +517,17 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         return short.unionByName(found)
 
     long = F.length("text") >= chunk
-    short = rows.filter(~long).mapInArrow(small, "doc_id long, ids array<int>, chunks int")
+    short = rows.filter(~long).mapInArrow(common.lean(small), "doc_id long, ids array<int>, chunks int")
+    # kept, so that a task that runs again finds the same numbers
+    giants = common.cut(rows.filter(long).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"))
     if isinstance(encoder(model), Merges):
-        parts = rows.filter(long).mapInArrow(_stretched(chunk, model), "row_id long, doc_id long, k int, part string")
-        return together(parts.repartition("row_id", "k").mapInArrow(merged, "row_id long, doc_id long, k int, ids array<int>"))
-    parts = rows.filter(long).mapInArrow(_chunks(chunk, reach - 1), "row_id long, doc_id long, k int, part string, size int")
-    given = parts.mapInArrow(matrices, "row_id long, k int, m binary").groupBy("row_id").applyInArrow(scanned, "row_id long, k int, given binary")
-    maps = parts.join(given, ["row_id", "k"]).mapInArrow(mapped, "row_id long, k int, m array<int>")
+        parts = giants.mapInArrow(common.lean(_stretched(chunk, model)), "row_id long, doc_id long, k int, part string")
+        return together(parts.repartition("row_id", "k").mapInArrow(common.lean(merged), "row_id long, doc_id long, k int, ids array<int>"))
+    parts = giants.mapInArrow(common.lean(_chunks(chunk, reach - 1)), "row_id long, doc_id long, k int, part string, size int")
+    given = parts.mapInArrow(common.lean(matrices), "row_id long, k int, m binary").groupBy("row_id").applyInArrow(scanned, "row_id long, k int, given binary")
+    maps = parts.join(given, ["row_id", "k"]).mapInArrow(common.lean(mapped), "row_id long, k int, m array<int>")
     cuts = maps.groupBy("row_id").applyInArrow(settled, "row_id long, k int, begin int, end int")
-    found = parts.join(cuts, ["row_id", "k"]).mapInArrow(pieces, "row_id long, doc_id long, k int, ids array<int>")
+    found = parts.join(cuts, ["row_id", "k"]).mapInArrow(common.lean(pieces), "row_id long, doc_id long, k int, ids array<int>")
     return together(found)
 
 
@@ -539,7 +545,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
                 text = decode_all(v, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
                 yield _batch(batch.slice(i, 256), batch.schema.names, decoded=pa.array(text, pa.binary()).cast(pa.string()))
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+    return rows.mapInArrow(common.lean(run), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

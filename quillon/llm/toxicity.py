@@ -3,8 +3,10 @@
 The lexicon is learnt: words that far more toxic than clean documents of the sample hold, weighted by the log
 ratio. It is a trie; a token is read by an automaton whose state is the set of (trie node, edits so far) that
 it may have come to, so one pass finds every entry within reach. States and their transitions are made when
-first needed. Terms of FUZZY letters or more may have one edit, but the first letter must be right; ordinary
-words of clean documents that happen to lie one edit from a term are no misspellings.
+first needed. A term of FUZZY letters or more may have one edit anywhere: a letter changed, left out or put in, or
+two neighbours swapped. Tokens hold digits and inner marks ("id1ot", "st*pid"); in those that do, terms of MASKED
+letters may have an edit, too. A token with marks is read as a whole and in its parts. Ordinary words of clean
+documents that happen to lie one edit from a term are no misspellings.
 
 For each hit a window of the text around tells quotation (quote marks on both sides, verbs of saying) from
 abuse (address, exclamation). A logistic regression over sums of hits, densest window, quotation and abuse
@@ -30,11 +32,13 @@ from . import common, labelled
 
 #: About so many documents of each label, at most, are learnt from.
 FIT_ROWS = 12_000
-LEAST_DOCS, LEAST_WEIGHT, TERMS = 3, math.log(6), 6000
-FUZZY = 5
+LEAST_DOCS, LEAST_WEIGHT = 3, math.log(6)
+FUZZY, MASKED = 5, 4
 WINDOW, SPAN = 12, 60
-MEMO = 300_000
+#: Tokens remembered, the longest of them, and automaton states kept at once.
+MEMO, MEMO_LENGTH, STATES = 200_000, 32, 50_000
 WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[@$*]?[^\W_]+(?:[-'’.*@$!+|_][^\W_]+)*")
 OPEN, CLOSE = re.compile("[\"“«„]"), re.compile("[\"”»“]")
 # Cue words around a hit.
 SAYING = re.compile(r"\b(said|says|wrote|quoted?|called|reported|replied|dit|écrit|sagte|schrieb|dijo)\b")
@@ -42,19 +46,25 @@ ABUSE = re.compile(r"\b(you|your|u|ur|du|dich|tu|toi|vous|tú|usted)\b|!")
 
 
 class Automaton:
-    """The lexicon as a trie, read by a lazily built deterministic automaton with at most one edit."""
+    """The lexicon as a trie, read by a lazily built deterministic automaton with at most one edit.
+
+    A state is a set of (node, e): e is 0 or 1 edit so far, or 2 where two letters stand swapped and the second of
+    them, which comes before the node's own in the term, must be read next.
+    """
 
     def __init__(self, weights: dict[str, float], ordinary: frozenset[str] = frozenset()) -> None:
         self.weights, self.ordinary = weights, ordinary
         self.children: list[dict[str, int]] = [{}]
+        self.before: list[str] = [""]  # the letter before each node's own
         self.ends: dict[int, str] = {}
         for word in sorted(weights):
-            node = 0
+            node, last = 0, ""
             for c in word:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                node = self.children[node][c]
+                    self.before.append(last)
+                node, last = self.children[node][c], c
             self.ends[node] = word
         self.memo: dict[str, tuple[str, int] | None] = {}
         self._fresh()
@@ -63,7 +73,7 @@ class Automaton:
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.numbers: dict[tuple[tuple[int, int], ...], int] = {}
         self.moves: list[dict[str, int]] = []
-        self.start = {c: self._number({(n, 0)}) for c, n in self.children[0].items()}
+        self.start = self._number({(0, 0)})
 
     def _number(self, items: set[tuple[int, int]]) -> int:
         """The state of these items and of those that leaving out a letter leads to; -1 if there are none."""
@@ -82,38 +92,59 @@ class Automaton:
     def _move(self, state: int, c: str) -> int:
         items: set[tuple[int, int]] = set()
         for node, e in self.states[state]:
+            if e == 2:
+                if c == self.before[node]:
+                    items.add((node, 1))
+                continue
             if c in self.children[node]:
                 items.add((self.children[node][c], e))
             if e == 0:
                 items.add((node, 1))
-                items |= {(n, 1) for n in self.children[node].values()}
+                for n in self.children[node].values():
+                    items.add((n, 1))
+                    if c in self.children[n]:
+                        items.add((self.children[n][c], 2))
         return self._number(items)
 
     def read(self, token: str) -> tuple[str, int] | None:
         """The heaviest term with the fewest edits within reach of the token, and those edits."""
         if token in self.weights:
             return token, 0
-        state = self.start.get(token[0], -1)
-        for c in token[1:]:
-            if state < 0:
-                return None
+        state = self.start
+        for c in token:
             nxt = self.moves[state].get(c)
             if nxt is None:
                 nxt = self.moves[state][c] = self._move(state, c)
+            if nxt < 0:
+                return None
             state = nxt
-        if state < 0 or token in self.ordinary:
+        if token in self.ordinary:
             return None
-        near = [w for node, e in self.states[state] if e and (w := self.ends.get(node)) and len(w) >= FUZZY]
+        least = FUZZY if token.isalpha() else MASKED
+        near = [w for node, e in self.states[state] if e == 1 and (w := self.ends.get(node)) and len(w) >= least]
         return (max(near, key=lambda w: (self.weights[w], w)), 1) if near else None
 
+    def _match(self, token: str) -> tuple[str, int] | None:
+        if token.isalpha():
+            return self.read(token)
+        parts = WORD.findall(token)
+        exact = [p for p in (token, *parts) if p in self.weights]
+        if exact:
+            return max(exact, key=lambda w: (self.weights[w], w)), 0
+        found = [hit for hit in (self.read(token), *map(self.read, parts)) if hit]
+        return max(found, key=lambda h: (self.weights[h[0]], h[0])) if found else None
+
     def match(self, token: str) -> tuple[str, int] | None:
+        """What ``token`` as a whole, or else a part of it between marks, stands for."""
         if token in self.memo:
             return self.memo[token]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(self.states) >= MEMO:
+        if len(self.states) >= STATES:
             self._fresh()
-        hit = self.memo[token] = self.read(token)
+        hit = self._match(token)
+        if len(token) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[token] = hit
         return hit
 
 
@@ -123,10 +154,11 @@ FEATURES = ("exact", "fuzzy", "top", "second", "densest", "quoted", "abusive", "
 def features(text: str, automaton: Automaton) -> list[float] | None:
     """Of a text with hits, else None."""
     lower = text.lower()
-    match = automaton.match
-    if not any(match(t) for t in set(WORD.findall(lower))):
+    tokens = TOKEN.findall(lower)
+    found = {t: hit for t in set(tokens) if (hit := automaton.match(t))}
+    if not found:
         return None
-    hits = [(i, m.start(), m.end(), *hit) for i, m in enumerate(WORD.finditer(lower)) if (hit := match(m[0]))]
+    hits = [(i, m.start(), m.end(), *found[m[0]]) for i, m in enumerate(TOKEN.finditer(lower)) if m[0] in found]
     weigh = automaton.weights
     by_term: dict[str, float] = {}
     quoted = abusive = 0
@@ -147,8 +179,7 @@ def features(text: str, automaton: Automaton) -> list[float] | None:
         densest = max(densest, total)
     exact = sum(weigh[t] for t in {h[3] for h in hits if not h[4]})
     fuzzy = sum(weigh[t] for t in {h[3] for h in hits if h[4]} - {h[3] for h in hits if not h[4]})
-    words = sum(1 for _ in WORD.finditer(lower))
-    return [math.log1p(exact), math.log1p(fuzzy), best[0], best[1] if len(best) > 1 else 0.0, math.log1p(densest), quoted / len(hits), abusive / len(hits), len(by_term) / math.sqrt(words)]
+    return [math.log1p(exact), math.log1p(fuzzy), best[0], best[1] if len(best) > 1 else 0.0, math.log1p(densest), quoted / len(hits), abusive / len(hits), len(by_term) / math.sqrt(len(tokens))]
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     n = {r["label"]: r["n"] for r in first.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
-    counted = first.mapInArrow(_vocabulary, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = first.mapInArrow(common.lean(_vocabulary), "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     weight = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
     counted = common.cut(counted.withColumn("weight", weight))
-    terms = counted.filter((F.col("n1") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc(F.col("weight") * F.col("n1")), "word").limit(TERMS)
+    terms = counted.filter((F.col("n1") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT))
     lexicon = {r["word"]: float(r["weight"]) for r in terms.select("word", "weight").collect()}
     plain = Automaton(lexicon)
 
@@ -207,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column) -> Model | None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column("word").to_pylist() if plain.read(w)], pa.string())], names=["word"])
 
-    usual = counted.filter((F.col("n0") >= 2) & (F.col("weight") < LEAST_WEIGHT)).select("word").mapInArrow(common_words, "word string")
+    usual = counted.filter((F.col("n0") >= 2) & (F.col("weight") < LEAST_WEIGHT)).select("word").mapInArrow(common.lean(common_words), "word string")
     automaton = Automaton(lexicon, frozenset(r["word"] for r in usual.collect()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column) -> Model | None:
             found = [features(t, automaton) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("label")], names=["f", "label"])
 
-    seen = rows.filter("part >= 6").select("text", "label").mapInArrow(measured, "f array<double>, label int").collect()
+    seen = rows.filter("part >= 6").select("text", "label").mapInArrow(common.lean(measured), "f array<double>, label int").collect()
     hit = [r for r in seen if r["f"] is not None]
     missed = [r["label"] for r in seen if r["f"] is None]
     rest = (sum(missed) + 0.01) / (len(missed) + 1)
@@ -234,7 +265,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             got = [model.score(t.decode("utf-8", "surrogatepass")) if model else 0.0 for t in texts]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return common.text_of(docs).mapInArrow(run, "doc_id long, score double")
+    return common.text_of(docs).mapInArrow(common.lean(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
@@ -246,7 +277,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array([model is None or model.score(t or "") < least for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def learners() -> Column:

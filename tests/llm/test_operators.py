@@ -176,11 +176,13 @@ def test_media_round_trip(spark, tmp_path):
 
 def test_automaton_equals_edit_distance():
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        row = old = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
-            row, old = [i], row
+            row, old, older = [i], row, old
             for j, y in enumerate(b, 1):
                 row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                    row[j] = min(row[j], older[j - 2] + 1)
         return row[-1]
 
     r = random.Random(3)
@@ -188,12 +190,20 @@ def test_automaton_equals_edit_distance():
     a = toxicity.Automaton(lexicon)
     for _ in range(1500):
         token = "".join(r.choice("abc") for _ in range(r.randrange(1, 10)))
-        near = [w for w in lexicon if w[0] == token[0] and (distance(w, token) == 0 or len(w) >= toxicity.FUZZY and distance(w, token) == 1)]
+        near = [w for w in lexicon if distance(w, token) == 0 or len(w) >= toxicity.FUZZY and distance(w, token) == 1]
         got = a.read(token)
         assert (got is not None) == bool(near), (token, near, got)
         assert got is None or got[1] == min(distance(w, token) for w in near)
 
 
+def test_masked_spellings_are_read():
+    a = toxicity.Automaton({"idiot": 3.0, "stupid": 2.0, "scum": 1.0}, frozenset({"idiom"}))
+    for token, term in {"id1ot": "idiot", "idoit": "idiot", "st*pid": "stupid", "1diot": "idiot", "diot": "idiot", "sc*m": "scum", "you.idiot": "idiot", "stupidd": "stupid"}.items():
+        assert a.match(token)[0] == term, token
+    assert not any(map(a.match, ["idiom", "scam", "st1p1d", "id", "2019", "a-b"]))
+    assert [t for t in toxicity.TOKEN.findall("you st*pid, id1ot! $tupid")] == ["you", "st*pid", "id1ot", "$tupid"]
+
+
 def classified(spark, module, label, bad):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefg") for _ in range(r.randrange(3, 8))) for _ in range(300)]
