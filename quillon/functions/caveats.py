@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..model import Schema
 from . import cel, k3
 
-#: Distinct conditions up to this number are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Distinct conditions of up to so many bytes are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def decided(rows: DataFrame, schema: Schema, context: dict | None = None) -> DataFrame:
@@ -38,7 +38,8 @@ def decided(rows: DataFrame, schema: Schema, context: dict | None = None) -> Dat
 
     pairs = rows.filter("caveat_name is not null").select(F.col("caveat_name").alias("cn"), F.coalesce("caveat_ctx", F.lit("")).alias("cc")).distinct()
     table = pairs.mapInArrow(run, f"cn string, cc string, kk {k3.TYPE}")
-    if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = pairs.agg(F.sum(F.length("cn") + F.length("cc") + 100)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         table = F.broadcast(table)
     out = rows.join(table, (F.col("caveat_name") == F.col("cn")) & (F.coalesce("caveat_ctx", F.lit("")) == F.col("cc")), "left")
     return out.withColumn("k", F.when(F.col("caveat_name").isNull(), k3.always()).otherwise(F.col("kk"))).drop("cn", "cc", "kk")

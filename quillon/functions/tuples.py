@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -15,18 +16,18 @@ from ..model import ELLIPSIS, TUPLES
 from .cel import timestamp
 
 # The grammar of the parts.
-NAME = r"[a-z][a-z0-9_]{0,62}[a-z0-9]|[a-z]"
-TYPE = rf"(?:(?:[a-z][a-z0-9_]{{1,61}}[a-z0-9])/)*[a-z][a-z0-9_]{{1,62}}[a-z0-9]"
+NAME = r"[a-z][a-z0-9_]{1,62}[a-z0-9]"
+TYPE = rf"(?:[a-z][a-z0-9_]{{1,61}}[a-z0-9]/)*{NAME}"
 RESOURCE_ID = r"[a-zA-Z0-9/_|\-=+]+"
 SUBJECT_ID = r"[a-zA-Z0-9/_|\-=+]+|\*"
+TIME = r"[0-9\-.:TZ]+"
 LONGEST_ID = 1024
 
-
-def _object(side: str, ids: str) -> str:
-    return rf"(?P<{side}type>{TYPE}):(?P<{side}id>{ids})(?:#(?P<{side}rel>{NAME}|\.\.\.))?"
-
-
-LINE = re.compile(_object("r", RESOURCE_ID) + "@" + _object("s", SUBJECT_ID) + rf"(?:\[(?P<caveat>{TYPE}|{NAME})(?::(?P<ctx>\{{.*\}}))?\])?(?:\[expiration:(?P<exp>[^\]]+)\])?", re.DOTALL)
+OBJECT = re.compile(rf"(?P<type>{TYPE}):(?P<id>{RESOURCE_ID})#(?P<rel>{NAME})\n?")
+LINE = re.compile(
+    rf"(?P<rtype>{TYPE}):(?P<rid>{RESOURCE_ID})#(?P<rrel>{NAME})@(?P<stype>{TYPE}):(?P<sid>{SUBJECT_ID})(?:#(?P<srel>{NAME}|\.\.\.))?"
+    rf"(?:\[(?P<caveat>{TYPE})(?::(?P<ctx>\{{.+\}}))?\])?(?:\[expiration:(?P<exp>{TIME})\])?\n?"
+)
 #: The same grammar's frame for Spark's own expressions: seven groups.
 FRAME = r"^([^:#@\[]+):([^#@\[]+)#([^@\[]+)@([^:#@\[]+):([^#@\[]+)(?:#([^@\[]+))?((?:\[.*\])?)$"
 
@@ -52,9 +53,9 @@ def canonical(context) -> str:
 
 
 def parse_line(line: str) -> tuple | None:
-    """The nine columns of a relationship, or None if the line isn't one."""
-    m = LINE.fullmatch(line.strip())
-    if not m or not m["rrel"] or m["rrel"] == ELLIPSIS or max(len(m["rid"]), len(m["sid"])) > LONGEST_ID:
+    """The nine columns of a relationship, or None if the line isn't one. One line end may follow, no other blank."""
+    m = LINE.fullmatch(line)
+    if not m or max(len(m["rid"]), len(m["sid"])) > LONGEST_ID:
         return None
     try:
         ctx = canonical(json.loads(m["ctx"])) if m["ctx"] else None
@@ -65,8 +66,22 @@ def parse_line(line: str) -> tuple | None:
 
 
 def parse_object(text: str) -> tuple[str, str, str] | None:
-    m = re.fullmatch(_object("r", SUBJECT_ID), text)
-    return (m["rtype"], m["rid"], m["rrel"] or ELLIPSIS) if m else None
+    """Type, id and relation of ``type:id#relation``, or None."""
+    m = OBJECT.fullmatch(text)
+    return (m["type"], m["id"], m["rel"]) if m and len(m["id"]) <= LONGEST_ID else None
+
+
+def objects(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with type, id and relation of the objects in a text column; null where it has none."""
+    kind = "struct<type:string,id:string,rel:string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if x is None else parse_object(x) for x in batch.column(0).to_pylist()]
+            columns = [pa.array([None if f is None else f[i] for f in found], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, ["type", "id", "rel"])], names=[column, "object"])
+
+    return rows.select(column).mapInArrow(run, f"{column} string, object {kind}").select(column, "object.*")
 
 
 def parse(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
@@ -79,7 +94,7 @@ def parse(lines: DataFrame, column: str = "value", strict: bool = True) -> DataF
             for line in batch.column(0).to_pylist():
                 if not line or not line.strip() or line.strip().startswith("//"):
                     continue
-                row = parse_line(line)
+                row = parse_line(line.strip())
                 if row is not None:
                     rows.append(row)
                 elif strict:
@@ -122,3 +137,23 @@ def parse_token(value: str) -> tuple[str, int, str]:
     except ValueError:
         pass
     raise ValueError("no consistency token")
+
+
+def cursor(request: dict, key: list[str]) -> str:
+    """A place in the rows of one request, which no other request takes."""
+    return base64.urlsafe_b64encode(canonical({"v": 1, "request": digest(request), "key": key}).encode()).decode()
+
+
+def parse_cursor(value: str, request: dict) -> list[str]:
+    try:
+        found = json.loads(base64.urlsafe_b64decode(value.encode()))
+        version, asked, key = found["v"], found["request"], found["key"]
+    except (ValueError, KeyError, TypeError):
+        raise ValueError("no cursor") from None
+    if version != 1 or asked != digest(request):
+        raise ValueError("the cursor belongs to another request")
+    return key
+
+
+def digest(request: dict) -> str:
+    return hashlib.sha256(canonical(request).encode()).hexdigest()

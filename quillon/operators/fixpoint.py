@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -49,13 +51,13 @@ def closure(edges: DataFrame, seeds: DataFrame, rounds: int = MAX_DEPTH) -> Data
 
 
 def closure_sql(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
-    """(start, node): the same in one recursive query, for acyclic and shallow data. It repeats paths, so the
-    depth bound is what ends it on a cycle."""
+    """(start, node): the same in one recursive query, for acyclic and shallow data. It repeats paths; one of more
+    than ``rounds`` steps, as any cycle has, raises when the rows are read."""
     edges.createOrReplaceTempView("quillon_edges")
     seeds.createOrReplaceTempView("quillon_seeds")
     return spark.sql(
         f"""WITH RECURSIVE r(start, node, depth) AS (
           SELECT start, node, 0 FROM quillon_seeds
-          UNION ALL SELECT r.start, e.dst, r.depth + 1 FROM r JOIN quillon_edges e ON r.node = e.src WHERE r.depth < {rounds})
-        SELECT DISTINCT start, node FROM r"""
+          UNION ALL SELECT r.start, e.dst, r.depth + 1 FROM r JOIN quillon_edges e ON r.node = e.src WHERE r.depth <= {rounds})
+        SELECT DISTINCT start, node FROM r WHERE CASE WHEN depth > {rounds} THEN CAST(raise_error('more than {rounds} steps') AS BOOLEAN) ELSE true END"""
     )

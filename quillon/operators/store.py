@@ -1,7 +1,7 @@
 """The relationship table through time: commits, history, compaction.
 
 A row lives from created_rev until deleted_rev. A commit joins staged updates with live rows on the six-part key
-and closes or adds rows; nothing else is rewritten.
+and closes or adds rows; the table is written anew, the change log only gets what is new.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import CHANGELOG, KEY, RELATIONSHIPS, TUPLES
+from ..functions.tuples import canonical
+from ..plans.dsl import compile_schema
+from ..plans.graph import schema_hash
+from ..plans.validate import check_schema, relationship_faults
 from .filters import Filter, conditions, query, visible
 from .fixpoint import keep
 
@@ -94,8 +98,12 @@ def collected(rows: DataFrame, floor: int) -> DataFrame:
 
 def as_of(versions: DataFrame, keys: list[str], revision: int, tombstone: str | None = None) -> DataFrame:
     """The last version of each key up to a revision (column rev); one whose ``tombstone`` column is null is gone."""
-    last = Window.partitionBy(*keys).orderBy(F.desc("rev")) if keys else Window.partitionBy(F.lit(0)).orderBy(F.desc("rev"))
-    out = versions.filter(F.col("rev") <= revision).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    out = versions.filter(F.col("rev") <= revision)
+    if keys:
+        last = Window.partitionBy(*keys).orderBy(F.desc("rev"))
+        out = out.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    else:
+        out = out.orderBy(F.desc("rev")).limit(1)
     return out.filter(F.col(tombstone).isNotNull()) if tombstone else out
 
 
@@ -131,16 +139,24 @@ class Commit:
     counters: dict[str, str | None] = field(default_factory=dict)
     expected_head: int | None = None
     schema_hash: str | None = None
+    #: Kept with the revision's changes in the log.
+    metadata: dict | None = None
+
+
+def compiled(schema: str):
+    return check_schema(compile_schema(schema))
 
 
 class Store:
     """Relationships, schemas, counters and the change log as DataFrames, with the head revision."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, schema: str | None = None) -> None:
         self.spark, self.head, self.floor = spark, 0, 0
         self.rows = spark.createDataFrame([], RELATIONSHIPS)
         self.log = spark.createDataFrame([], CHANGELOG)
         self.schemas: list[tuple[int, str, str]] = []
+        if schema is not None:
+            self.schemas.append((0, schema_hash(compiled(schema)), schema))
         self.counters = spark.createDataFrame([], "rev long, name string, filter string")
 
     def live(self, revision: int | None = None) -> DataFrame:
@@ -159,11 +175,11 @@ class Store:
         if c.preconditions and (bad := conditions(live, c.preconditions).filter("not holds").first()):
             raise Conflict(f"precondition {bad['name']!r} doesn't hold")
         rows, deleted, reached = self.rows, 0, False
+        schema = c.schema if c.schema is not None else self.schemas[-1][2] if self.schemas else None
         if c.updates is not None:
             if c.updates.limit(MOST_UPDATES + 1).count() > MOST_UPDATES:
                 raise Conflict(f"more than {MOST_UPDATES} updates")
-            if bad := conflicts(live, c.updates).first():
-                raise Conflict(f"{bad['resource_type']}:{bad['resource_id']}#{bad['resource_rel']}: {bad['why']}")
+            self.refuse(live, c.updates, schema)
             rows = apply_updates(rows, c.updates, revision)
         if c.delete is not None:
             current = rows.filter("deleted_rev is null")
@@ -172,31 +188,48 @@ class Store:
             hit, n = to_delete(current, c.delete, c.delete_limit)
             deleted, reached = n.first()
             rows = apply_updates(rows, hit.select(F.lit("delete").alias("op"), *TUPLES.names), revision)
-        self.rows, changed = keep(rows), c.schema is not None
-        if changed:
-            from ..plans.dsl import compile_schema
-            from ..plans.graph import schema_hash
-
-            self.schemas.append((revision, schema_hash(compile_schema(c.schema)), c.schema))
+        rows = keep(rows)
+        if c.schema is not None:
+            new = compiled(c.schema)
+            if bad := relationship_faults(new, rows.filter("deleted_rev is null")).first():
+                raise Conflict(f"{shown(bad)} would be left: {bad['fault']}")
+            self.schemas.append((revision, schema_hash(new), c.schema))
         if c.counters:
             self.counters = keep(self.counters.union(self.spark.createDataFrame([(revision, k, v) for k, v in c.counters.items()], self.counters.schema)))
-        self.logged(revision, changed)
+        self.rows = rows
+        self.logged(revision, c.schema is not None, c.metadata)
         return revision, deleted, reached
 
-    def logged(self, revision: int, changed: bool = False) -> None:
+    def refuse(self, live: DataFrame, updates: DataFrame, schema: str | None) -> None:
+        """Raise Conflict for updates that can't be made or that the schema doesn't allow."""
+        if schema is None:
+            raise Conflict("no schema has been written")
+        if bad := relationship_faults(compiled(schema), updates.filter(F.col("op") != "delete")).first():
+            raise Conflict(f"{shown(bad)}: {bad['fault']}")
+        if bad := conflicts(live, updates).first():
+            raise Conflict(f"{shown(bad)}: {bad['why']}")
+
+    def logged(self, revision: int, changed: bool = False, metadata: dict | None = None) -> None:
         """Make ``revision`` the head, with its changes in the log."""
-        log = changes_at(self.rows, revision - 1, revision).select("rev", F.lit(0).alias("seq"), "op", *TUPLES.names, F.lit(changed).alias("schema_changed"), F.lit(None).cast("string").alias("tx_metadata"))
-        self.log, self.head = keep(self.log.unionByName(log)), revision
+        noted = F.lit(None if metadata is None else canonical(metadata)).cast("string").alias("tx_metadata")
+        log = changes_at(self.rows, revision - 1, revision).select("rev", F.lit(0).alias("seq"), "op", *TUPLES.names, F.lit(changed).alias("schema_changed"), noted)
+        self.log, self.head = self.log.unionByName(keep(log)), revision
 
     def bulk_import(self, tuples: DataFrame, now_ns: int | None = None) -> int:
-        """All rows in one revision; any key that is there twice or already refuses the whole."""
+        """All rows in one revision, any number of them; a key that is there twice or already, or a row that the schema
+        doesn't allow, refuses the whole."""
         updates = tuples.select(F.lit("create").alias("op"), *TUPLES.names)
-        if bad := conflicts(self.live(), updates).first():
-            raise Conflict(f"{bad['resource_type']}:{bad['resource_id']}: {bad['why']}")
+        self.refuse(self.live(), updates, self.schemas[-1][2] if self.schemas else None)
         revision = max(time.time_ns() if now_ns is None else now_ns, self.head + 1)
         self.rows = keep(self.rows.unionByName(updates.drop("op").withColumns({"created_rev": F.lit(revision).cast("long"), "deleted_rev": F.lit(None).cast("long")})))
         self.logged(revision)
         return revision
 
     def collect_garbage(self, floor: int) -> None:
+        """Rows closed and changes logged at or before the floor go."""
         self.rows, self.floor = keep(collected(self.rows, floor)), max(self.floor, floor)
+        self.log = keep(self.log.filter(F.col("rev") > floor))
+
+
+def shown(row) -> str:
+    return f"{row['resource_type']}:{row['resource_id']}#{row['resource_rel']}"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import k3
 from ..model import ELLIPSIS, WILDCARD
+from .fixpoint import keep
 
 KEYS = ["rid", "stype", "srel", "sid"]
 GROUP = ["rid", "stype", "srel"]
@@ -62,6 +63,7 @@ def union(sets: list[SubjectSet], spark, branch: str | None = None) -> SubjectSe
         if not cond:
             return SubjectSet(rows.select(*KEYS).distinct().withColumns({"c": k3.always(), "e": k3.none()}))
         return SubjectSet(_plain(rows), conditional=cond)
+    rows = keep(rows)  # read twice; without it plans double with every level
     everybody = rows.filter(F.col("sid") == WILDCARD).groupBy(*GROUP).agg(k3.any_of(F.col("c")).alias("c"), F.count_distinct("branch").alias("n"))
     single = rows.filter(F.col("sid") != WILDCARD)
     single = single.groupBy(*KEYS).agg(k3.any_of(F.col("c")).alias("c"), k3.all_of(F.col("e")).alias("e"), F.count_distinct(F.when(F.col("e").isNotNull(), F.col("branch"))).alias("k"))
@@ -76,8 +78,8 @@ def union(sets: list[SubjectSet], spark, branch: str | None = None) -> SubjectSe
 def _pair(a: SubjectSet, b: SubjectSet, how: str) -> tuple[DataFrame, DataFrame]:
     """(single subjects, everybody) of two sets side by side: ca, ea, cb, eb, and wa, wb of everybody."""
     side = lambda s, x: s.select(*KEYS, F.col("c").alias(f"c{x}"), F.col("e").alias(f"e{x}"))
-    sa, wa = a.keyed()
-    sb, wb = b.keyed()
+    sa, wa = SubjectSet(keep(a.rows)).keyed()
+    sb, wb = SubjectSet(keep(b.rows)).keyed()
     wa, wb = (w.select(*GROUP, F.col("c").alias(f"w{x}")) for w, x in ((wa, "a"), (wb, "b")))
     single = side(sa, "a").join(side(sb, "b"), KEYS, "full")
     single = single.join(wa, GROUP, "left").join(wb, GROUP, "left")
@@ -101,6 +103,15 @@ def intersect(a: SubjectSet, b: SubjectSet, spark) -> SubjectSet:
     if not (a.wild or b.wild):
         rows = a.rows.select(*KEYS, F.col("c").alias("ca")).join(b.rows.select(*KEYS, F.col("c").alias("cb")), KEYS)
         return SubjectSet(rows.select(*KEYS, (k3.and_(*_c("ca", "cb")) if cond else k3.always()).alias("c"), k3.none().alias("e")), conditional=cond)
+    if not (a.wild and b.wild):  # only whom the one set lists can be in both
+        listing, other = (b, a) if a.wild else (a, b)
+        named, everybody = SubjectSet(keep(other.rows)).keyed()
+        rows = listing.rows.select(*KEYS, F.col("c").alias("ca"))
+        rows = rows.join(named.select(*KEYS, F.col("c").alias("cb"), F.col("e").alias("eb")), KEYS, "left")
+        rows = rows.join(everybody.select(*GROUP, F.col("c").alias("wb")), GROUP, "left")
+        ca, cb, eb, wb = _c("ca", "cb", "eb", "wb")
+        c = k3.or_(k3.and_(ca, cb), k3.and_(ca, _apart(wb, eb)))
+        return SubjectSet(rows.select(*KEYS, c.alias("c"), k3.none().alias("e")).filter("c is not null"), conditional=cond)
     single, both = _pair(a, b, "inner")
     ca, ea, cb, eb, wa, wb = _c("ca", "ea", "cb", "eb", "wa", "wb")
     c = k3.or_(k3.or_(k3.and_(ca, cb), k3.and_(ca, _apart(wb, eb))), k3.and_(cb, _apart(wa, ea)))
@@ -120,6 +131,13 @@ def exclude(a: SubjectSet, b: SubjectSet) -> SubjectSet:
             return SubjectSet(a.rows.join(b.rows.select(*KEYS), KEYS, "left_anti"), conditional=cond)
         rows = a.rows.join(b.rows.select(*KEYS, F.col("c").alias("cb")), KEYS, "left")
         return SubjectSet(rows.select(*KEYS, k3.minus(*_c("c", "cb")).alias("c"), "e").filter("c is not null"), conditional=cond)
+    if not b.wild:  # everybody stays, and whom b lists is excluded
+        named, everybody = SubjectSet(keep(a.rows)).keyed()
+        rows = named.select(*KEYS, F.col("c").alias("ca"), F.col("e").alias("ea")).join(b.rows.select(*KEYS, F.col("c").alias("cb")), KEYS, "full")
+        rows = rows.join(everybody.select(*GROUP, F.lit(True).alias("has")), GROUP, "left")
+        ca, ea, cb = _c("ca", "ea", "cb")
+        rows = rows.select(*KEYS, k3.minus(ca, cb).alias("c"), F.when(F.col("has"), k3.or_(ea, cb)).alias("e"))
+        return SubjectSet(rows.filter("c is not null or e is not null").unionByName(everybody), True, cond)
     single, both = _pair(a, b, "left")
     ca, ea, cb, eb, wa, wb = _c("ca", "ea", "cb", "eb", "wa", "wb")
     left = k3.minus(ca, cb)
@@ -162,7 +180,7 @@ def every(targets: DataFrame, s: SubjectSet, spark) -> SubjectSet:
 
 def listed(s: SubjectSet) -> DataFrame:
     """Found subjects: (rid, stype, srel, sid, st, missing, excluded); of everybody, whom it leaves out."""
-    single, everybody = s.keyed()
+    single, everybody = (SubjectSet(keep(s.rows)) if s.wild else s).keyed()
     row = [*KEYS, F.col("c.st").alias("st"), F.col("c.missing").alias("missing")]
     found = single.filter(F.col("c.st") > k3.FALSE).select(*row, F.array().cast("array<string>").alias("excluded"))
     if not s.wild:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,31 +44,41 @@ class ValidationFile:
         return spark.createDataFrame(self.relationships, TUPLES)
 
 
-def load_validation(text: str) -> ValidationFile:
-    """A schema, relationships and what is expected of them. Raises SchemaError for a file that is malformed, names
-    another file, repeats a relationship or has one that isn't one."""
+def load_validation(text: str, folder: str | None = None) -> ValidationFile:
+    """A schema, relationships and what is expected of them. The schema stands in the text or in ``schemaFile``, a file
+    of ``folder``, not in both. Raises SchemaError for a file that is malformed, repeats a relationship or has one
+    that isn't one."""
     import yaml
 
     try:
         doc = yaml.safe_load(text) or {}
     except yaml.YAMLError as e:
         raise SchemaError(f"no YAML: {e}") from None
-    if not isinstance(doc, dict) or (other := sorted(set(doc) - {"schema", "relationships", "assertions", "validation"})):
+    if not isinstance(doc, dict) or (other := sorted(set(doc) - {"schema", "schemaFile", "relationships", "assertions", "validation"})):
         raise SchemaError(f"unknown part {other[0]!r}" if isinstance(doc, dict) else "a mapping is wanted")
+    schema, other = doc.get("schema") or "", (doc.get("schemaFile") or "").strip()
+    if other:
+        root = os.path.realpath(folder) if folder else ""
+        path = os.path.realpath(os.path.join(root, other))
+        if schema.strip() or not root or os.path.isabs(other) or not path.startswith(root + os.sep) or not os.path.isfile(path):
+            raise SchemaError("a schema and a file of it" if schema.strip() else f"no local schema file {other!r}")
+        with open(path, encoding="utf-8") as f:
+            schema = f.read()
     rows, seen = [], set()
     for line in (doc.get("relationships") or "").splitlines():
         if line.strip() and not line.strip().startswith("//"):
-            row = tuples.parse_line(line)
+            row = tuples.parse_line(line.strip())
             if row is None:
                 raise SchemaError(f"no relationship: {line!r}")
             if row[:6] in seen:
                 raise SchemaError(f"repeated relationship: {line!r}")
             seen.add(row[:6])
             rows.append(row)
-    out = ValidationFile(check_schema(compile_schema(doc.get("schema") or "")), rows, expected=doc.get("validation") or {})
+    out = ValidationFile(check_schema(compile_schema(schema)), rows, expected=doc.get("validation") or {})
     for key, verdict in (("assertTrue", "member"), ("assertFalse", "notMember"), ("assertCaveated", "caveated")):
         for item in (doc.get("assertions") or {}).get(key) or []:
             line, _, ctx = item.partition(" with ")
+            line = line.strip()
             if tuples.parse_line(line) is None:
                 raise SchemaError(f"no assertion: {item!r}")
             out.assertions.append((line, ctx or None, verdict))

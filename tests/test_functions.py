@@ -61,8 +61,14 @@ def test_lines_round_trip(spark, tmp_path):
     assert [tuple(r) for r in rows.collect()] == [tuples.parse_line(x) for x in LINES]
     files.write_text(rows, f"{tmp_path}/t")
     assert files.read_text(spark, f"{tmp_path}/t").count() == len(LINES)
-    for bad in ("doc:a#viewer", "doc:a@user:b", "doc:*#viewer@user:b", "Doc:a#viewer@user:b", "doc:a#viewer@user:b[cav:{]", ""):
+    for bad in ("doc:a#viewer", "doc:a@user:b", "doc:*#viewer@user:b", "Doc:a#viewer@user:b", "doc:a#viewer@user:b[cav:{]", "", "doc:a#v@user:b", "doc:a#vw@user:b", "do:a#viewer@user:b", "doc:a#viewer@user:b[cav:{}]", " doc:a#viewer@user:b", "doc:a#viewer@user:b[expiration:2024-01-02T03:04:05+01:00]", "doc:a#viewer@user:b\n\n", f"doc:{1025 * 'a'}#viewer@user:b"):
         assert tuples.parse_line(bad) is None
+    assert tuples.parse_line("doc:a#viewer@user:b\n") and tuples.parse_object("doc:a#viewer") == ("doc", "a", "viewer") and not tuples.parse_object("doc:a")
+    place = tuples.cursor({"type": "doc", "limit": 2}, ["doc:a#viewer@user:b"])
+    assert tuples.parse_cursor(place, {"limit": 2, "type": "doc"}) == ["doc:a#viewer@user:b"]
+    for other in ({"type": "team", "limit": 2}, {}):
+        with pytest.raises(ValueError):
+            tuples.parse_cursor(place, other)
     assert tuples.parse_token(tuples.token("s", 7, "h")) == ("s", 7, "h")
 
 
@@ -88,7 +94,7 @@ def test_filters(spark):
 
 
 def test_commits(spark):
-    s = store.Store(spark)
+    s = store.Store(spark, "definition user {} caveat cav(a int) { a == 1 } definition doc { relation viewer: user | user with cav } definition team { relation viewer: user }")
     up = lambda op, *lines: spark.createDataFrame([(op, *tuples.parse_line(x)) for x in lines], "op string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TUPLES))
     a, b = "doc:a#viewer@user:tom", "doc:b#viewer@user:tom"
     first, _, _ = s.commit(store.Commit(updates=up("create", a, b)), 100)
@@ -119,7 +125,7 @@ def test_revisions():
 
 
 def test_watch(spark, tmp_path):
-    s = store.Store(spark)
+    s = store.Store(spark, "definition user {} caveat cav(a int) { a == 1 } definition doc { relation viewer: user | user with cav } definition team { relation viewer: user }")
     up = lambda op, *lines: spark.createDataFrame([(op, *tuples.parse_line(x)) for x in lines], "op string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TUPLES))
     s.commit(store.Commit(updates=up("touch", "doc:a#viewer@user:tom")), 10)
     s.commit(store.Commit(updates=up("touch", "team:a#viewer@user:tom")), 20)
@@ -159,6 +165,15 @@ assertions:
             files.load_validation(bad)
 
 
+def test_validation_files_with_a_schema_file(tmp_path):
+    (tmp_path / "s.zed").write_text("definition user {} definition doc { relation viewer: user }")
+    text = "schemaFile: s.zed\nrelationships: |-\n  doc:one#viewer@user:tom\n"
+    assert len(files.load_validation(text, str(tmp_path)).relationships) == 1
+    for bad, folder in ((text, None), (text + "schema: definition user {}\n", str(tmp_path)), (text.replace("s.zed", "../s.zed"), str(tmp_path / "x")), (text.replace("s.zed", "none"), str(tmp_path))):
+        with pytest.raises(SchemaError):
+            files.load_validation(bad, folder)
+
+
 def test_a_check_reads_what_it_needs(spark):
     rows = filters.check_scan(relation(spark), "doc", "viewer", ("user", "tom", ELLIPSIS))
     assert sorted(r["subject_id"] for r in rows.collect()) == ["*", "eng", "tom"]
