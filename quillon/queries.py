@@ -362,10 +362,13 @@ def lookup_resources_wildcard(spark, d):
     return access.lookup_resources(schema(), rel(spark, d, "public", "banned"), "order", "open", one).select("rid")
 
 
-@query(w(*GRAPH, more=REP) + "SELECT rid, sid FROM (SELECT rid, sid FROM rel WHERE rr = 'owner' UNION SELECT rid, sid FROM rep EXCEPT SELECT rid, sid FROM rel WHERE rr = 'banned') x WHERE rid IN ('1', '2', '7')")
+def _orders(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("rid"))
+
+
+@query(w(*GRAPH, more=REP) + "SELECT rid, sid FROM rel WHERE rr = 'owner' UNION SELECT rid, sid FROM rep EXCEPT SELECT rid, sid FROM rel WHERE rr = 'banned'")
 def lookup_subjects(spark, d):
-    some = literal(spark, [("1",), ("2",), ("7",)], "rid string")
-    return access.lookup_subjects(schema(), rel(spark, d, *GRAPH), "order", "view", some, "user").select("rid", "sid")
+    return access.lookup_subjects(schema(), rel(spark, d, *GRAPH), "order", "view", _orders(spark, d), "user").select("rid", "sid")
 
 
 @query(w("public", "banned") + EXCLUDED.replace("CAST(3 AS INTEGER) AS st, ", ""))
@@ -375,10 +378,9 @@ def lookup_subjects_wildcard(spark, d):
     return found.select("rid", "sid", F.array_join("excluded", ",").alias("excluded"))
 
 
-@query(w("supplier", "nation", "citizen", more=REP) + "SELECT rid, sid FROM (SELECT rid, sid, row_number() OVER (PARTITION BY rid ORDER BY sid) AS n FROM rep WHERE rid IN ('1', '2', '7')) x WHERE n <= 3")
+@query(w("supplier", "nation", "citizen", more=REP) + "SELECT rid, sid FROM (SELECT rid, sid, row_number() OVER (PARTITION BY rid ORDER BY sid) AS n FROM rep) x WHERE n <= 3")
 def lookup_subjects_limit(spark, d):
-    some = literal(spark, [("1",), ("2",), ("7",)], "rid string")
-    return access.lookup_subjects(schema(), rel(spark, d, "supplier", "nation", "citizen"), "order", "rep", some, "user", limit=3).select("rid", "sid")
+    return access.lookup_subjects(schema(), rel(spark, d, "supplier", "nation", "citizen"), "order", "rep", _orders(spark, d), "user", limit=3).select("rid", "sid")
 
 
 @query(w("group", more=CLOSURE) + "SELECT DISTINCT r.sid AS start, u.grp AS rid FROM up u JOIN rel r ON r.rt = 'group' AND r.sr = '...' AND r.rid = u.child")
@@ -795,3 +797,375 @@ def caveat_subtree(spark, d):
     m = F.create_map(F.lit("nation"), F.col("c_nationkey").cast("long"))
     big = F.create_map(F.lit("nation"), F.lit(3).cast("long"), F.lit("other"), F.lit(1).cast("long"))
     return _cel(spark, d, "m.isSubtreeOf(big)", "m map<any>, big map<any>", "customer", {"m": m, "big": big}, "c_custkey")
+
+
+# ---- set algebra with wildcards and conditions: what each operation says of every supplier and its customers
+
+ALGEBRA = """
+definition user {}
+caveat lucky(n int, want int) { n == want }
+definition doc {
+  relation left: user | user with lucky | user:* | user:* with lucky
+  relation right: user | user with lucky | user:* | user:* with lucky
+  relation plain: user | user with lucky
+  permission either = left + right
+  permission both = left & right
+  permission rest = left - right
+  permission listed_rest = plain - left
+  permission listed_both = plain & left
+  permission open_rest = left - plain
+  permission listed_either = left + plain
+  permission nested = (left + plain) - (right & left)
+}
+definition hub {
+  relation has: doc | doc with lucky
+  permission any = has->left
+  permission every = has.all(left)
+}
+"""
+# what (supplier s, customer c) and (supplier s, everybody) have in each relation: no entry or condition 0 to 2
+DIRECT = {"left": "CASE WHEN (s + c) % 3 = 0 THEN NULL WHEN c % 4 = 0 THEN 1 WHEN c % 4 = 2 THEN 0 ELSE 2 END", "right": "CASE WHEN (s + c) % 2 = 1 THEN NULL WHEN c % 6 = 0 THEN 1 ELSE 2 END", "plain": "CASE WHEN c % 3 <> 1 THEN NULL WHEN c % 9 = 1 THEN 1 ELSE 2 END"}
+OPEN = {"left": "CASE WHEN s % 5 = 0 THEN 2 WHEN s % 5 = 1 THEN 1 END", "right": "CASE WHEN s % 10 = 0 THEN 2 WHEN s % 10 = 1 THEN 1 WHEN s % 10 = 5 THEN 0 END"}
+HAS = "CASE WHEN s % 7 = 0 THEN 1 ELSE 2 END"
+CONTEXTS = {0: '{"n":1,"want":2}', 1: '{"n":1}'}
+DEALS = "deals AS (SELECT DISTINCT l_suppkey AS s, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+STATE = {r: f"greatest(coalesce({DIRECT[r]}, 0), coalesce({OPEN.get(r, 'NULL')}, 0))" for r in DIRECT}
+
+
+def _deals(spark, d) -> DataFrame:
+    items, orders = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("s"), F.col("o_custkey").alias("c")).distinct()
+
+
+@cache
+def _algebra_schema() -> Schema:
+    return validate.check_schema(dsl.compile_schema(ALGEBRA))
+
+
+def _algebra_rows(spark, d, *names: str) -> DataFrame:
+    """Relationships of the documents (suppliers) and hubs (nations)."""
+    deals, suppliers = fixpoint.keep(_deals(spark, d)), spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("s"), "s_nationkey")
+    parts = []
+
+    def add(df, state, rt, rid, rel_, st, sid):
+        df = df.withColumn("state", F.expr(state)).filter("state is not null")
+        ctx = F.when(F.col("state") == 0, CONTEXTS[0]).when(F.col("state") == 1, CONTEXTS[1])
+        rows = world._rows(df, rt, rid, rel_, st, sid, ctx=ctx)
+        parts.append(rows.withColumn("caveat_name", F.when(F.col("caveat_ctx").isNotNull(), "lucky")))
+
+    for r in names:
+        if r == "has":
+            add(suppliers, HAS, "hub", F.col("s_nationkey"), "has", "doc", F.col("s"))
+            continue
+        add(deals, DIRECT[r], "doc", F.col("s"), r, "user", F.col("c"))
+        if r in OPEN:
+            add(suppliers, OPEN[r], "doc", F.col("s"), r, "user", F.lit("*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return access.prepared(_algebra_schema(), out)
+
+
+def _verdicts(spark, d, type_: str, permission: str, asked: DataFrame, *names: str) -> DataFrame:
+    """What the subject sets of a permission say of asked pairs."""
+    asked = asked.select(F.col("rid").cast("string").alias("rid"), F.lit("user").alias("stype"), F.lit("...").alias("srel"), F.col("sid").cast("string").alias("sid"))
+    view = Planner(_algebra_schema(), _algebra_rows(spark, d, *names)).view(type_, permission)
+    return sets.granted(view, asked).select("rid", "sid", k3.verdict(F.coalesce("k", k3.of(F.lit(0)))).alias("verdict"))
+
+
+def _verdict_sql(state: str) -> str:
+    return f"SELECT CAST(rid AS VARCHAR) AS rid, CAST(sid AS VARCHAR) AS sid, CASE {state} WHEN 2 THEN 'member' WHEN 1 THEN 'caveated' ELSE 'notMember' END AS verdict"
+
+
+def _algebra(state: str) -> str:
+    for r in STATE:
+        state = state.replace("{" + r + "}", STATE[r])
+    return f"WITH {DEALS} {_verdict_sql('st')} FROM (SELECT s AS rid, c AS sid, {state} AS st FROM deals) x"
+
+
+def _asked(spark, d) -> DataFrame:
+    return _deals(spark, d).select(F.col("s").alias("rid"), F.col("c").alias("sid"))
+
+
+@query(_algebra("greatest({left}, {right})"))
+def wild_union(spark, d):
+    """Public wildcards on both sides, with conditions."""
+    return _verdicts(spark, d, "doc", "either", _asked(spark, d), "left", "right")
+
+
+@query(_algebra("least({left}, {right})"))
+def wild_intersection(spark, d):
+    return _verdicts(spark, d, "doc", "both", _asked(spark, d), "left", "right")
+
+
+@query(_algebra("least({left}, 2 - {right})"))
+def wild_exclusion(spark, d):
+    """A wildcard less a wildcard."""
+    return _verdicts(spark, d, "doc", "rest", _asked(spark, d), "left", "right")
+
+
+@query(_algebra("least({plain}, 2 - {left})"))
+def listed_less_wild(spark, d):
+    return _verdicts(spark, d, "doc", "listed_rest", _asked(spark, d), "left", "plain")
+
+
+@query(_algebra("least({plain}, {left})"))
+def listed_and_wild(spark, d):
+    return _verdicts(spark, d, "doc", "listed_both", _asked(spark, d), "left", "plain")
+
+
+@query(_algebra("least({left}, 2 - {plain})"))
+def wild_less_listed(spark, d):
+    return _verdicts(spark, d, "doc", "open_rest", _asked(spark, d), "left", "plain")
+
+
+@query(_algebra("greatest({left}, {plain})"))
+def wild_or_listed(spark, d):
+    """A wildcard weakened by listed subjects, and the other way round."""
+    return _verdicts(spark, d, "doc", "listed_either", _asked(spark, d), "left", "plain")
+
+
+@query(_algebra("least(greatest({left}, {plain}), 2 - least({right}, {left}))"))
+def nested_algebra(spark, d):
+    return _verdicts(spark, d, "doc", "nested", _asked(spark, d), "left", "right", "plain")
+
+
+def _hubs(how: str) -> str:
+    own = f"greatest(CASE WHEN p.s IS NULL THEN 0 ELSE coalesce({DIRECT['left']}, 0) END, coalesce({OPEN['left']}, 0))"
+    inner = f"SELECT a.n AS rid, a.c AS sid, t.s_suppkey AS s, a.c AS c, p.s IS NULL AS apart FROM asked a JOIN supplier t ON t.s_nationkey = a.n LEFT JOIN deals p ON p.s = t.s_suppkey AND p.c = a.c"
+    return f"WITH {DEALS}, asked AS (SELECT DISTINCT s_nationkey AS n, c FROM deals JOIN supplier ON s_suppkey = s), g AS ({inner}) {_verdict_sql('st')} FROM (SELECT rid, sid, {how}(least({HAS}, {own.replace('p.s IS NULL', 'apart')})) AS st FROM g GROUP BY rid, sid) x"
+
+
+def _asked_hubs(spark, d) -> DataFrame:
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet")
+    return _deals(spark, d).join(suppliers, F.col("s_suppkey") == F.col("s")).select(F.col("s_nationkey").alias("rid"), F.col("c").alias("sid")).distinct()
+
+
+@query(_hubs("max"))
+def arrow_conditional(spark, d):
+    """Wildcards and conditions through an arrow that is itself conditional."""
+    return _verdicts(spark, d, "hub", "any", _asked_hubs(spark, d), "left", "has")
+
+
+@query(_hubs("min"))
+def arrow_all_wild(spark, d):
+    return _verdicts(spark, d, "hub", "every", _asked_hubs(spark, d), "left", "has")
+
+
+# ---- text, pages, feed and commits
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS rid, epoch_us(o_orderdate) * 1000 + 123456700 AS ns FROM orders")
+def expiration_parse(spark, d):
+    """Times of nine digits after the point; those after the seventh are dropped."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    lines = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"), F.lit("#temp@user:"), F.col("o_custkey").cast("string"), F.lit("[expiration:"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123456789Z]")).alias("value"))
+    return tuples.parse(lines).select(F.col("resource_id").alias("rid"), F.col("expiration_ns").alias("ns"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS rid, '{\"min\":' || CAST(o_custkey AS VARCHAR) || ',\"note\":\"\\u003Ca\\u0026b\\u003E\",\"total\":5}' AS ctx FROM orders")
+def context_canonical(spark, d):
+    """Contexts in another order and with blanks come out canonical."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    lines = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"), F.lit('#payer@user:tom[min_total:{ "total": 5, "note": "<a&b>",  "min": '), F.col("o_custkey").cast("string"), F.lit("}]")).alias("value"))
+    return tuples.parse(lines).select(F.col("resource_id").alias("rid"), F.col("caveat_ctx").alias("ctx"))
+
+
+@query("SELECT CASE c_custkey % 4 WHEN 0 THEN 'group:' || c_custkey || '#member' WHEN 1 THEN 'group:' || c_custkey WHEN 2 THEN 'Group:' || c_custkey || '#member' ELSE 'group:a/b|' || c_custkey || '#mem_ber' END AS line, CASE WHEN c_custkey % 4 IN (0, 3) THEN 'group' ELSE '' END AS type, CASE c_custkey % 4 WHEN 0 THEN '' || c_custkey WHEN 3 THEN 'a/b|' || c_custkey ELSE '' END AS id, CASE c_custkey % 4 WHEN 0 THEN 'member' WHEN 3 THEN 'mem_ber' ELSE '' END AS rel FROM customer")
+def object_parse(spark, d):
+    key = F.col("c_custkey")
+    of = lambda before, after: F.concat(F.lit(before), key.cast("string"), F.lit(after))
+    line = F.when(key % 4 == 0, of("group:", "#member")).when(key % 4 == 1, of("group:", "")).when(key % 4 == 2, of("Group:", "#member")).otherwise(of("group:a/b|", "#mem_ber"))
+    found = tuples.objects(spark.read.parquet(f"{d}/customer.parquet").select(line.alias("line")), "line")
+    return found.select("line", *(F.coalesce(c, F.lit("")).alias(c) for c in ("type", "id", "rel")))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS rid FROM customer WHERE c_custkey % 6 IN (0, 5)")
+def tuple_refused(spark, d):
+    """Lines that the grammar refuses are left out where that is asked for."""
+    key = F.col("c_custkey")
+    of = lambda after: F.concat(F.lit("group:"), key.cast("string"), F.lit(after))
+    line = F.when(key % 6 == 0, of("#member@user:tom")).when(key % 6 == 1, of("#me@user:tom")).when(key % 6 == 2, of("#member@user:tom[cav:{}]")).when(key % 6 == 3, of("#member@user:tom[expiration:2024-01-02T03:04:05+01:00]")).when(key % 6 == 4, of("@user:tom")).otherwise(of('#member@user:*[cav:{"a":1}]'))
+    return tuples.parse(spark.read.parquet(f"{d}/customer.parquet").select(line.alias("value")), strict=False).select(F.col("resource_id").alias("rid"))
+
+
+@query(w(*SOME) + f"SELECT {TAGS} AS tuple FROM rel WHERE rt = 'order' ORDER BY 1 LIMIT 100 OFFSET 100")
+def cursor_page(spark, d):
+    """The second page, after a cursor that belongs to the request."""
+    rows, request = world.relationships(spark, d, *SOME), {"type": "order", "limit": 100}
+    first = filters.read(rows, Filter(type="order"), limit=100).agg(F.max("tuple").alias("last")).first()
+    place = tuples.cursor(request, [first["last"]])
+    return filters.read(rows, Filter(type="order"), cursor=tuples.parse_cursor(place, request)[0], limit=100).select("tuple")
+
+
+@query(w(*SOME) + f"SELECT {TAGS} AS tuple FROM rel WHERE rt = 'order'")
+def limit_zero(spark, d):
+    """A limit of 0 is none."""
+    return filters.read(world.relationships(spark, d, *SOME), Filter(type="order"), limit=0).select("tuple")
+
+
+def _log_with_schema(spark, d):
+    return _log(spark, d).withColumn("schema_changed", F.col("rev") % 5000 == 0)
+
+
+@query("WITH " + INTERVALS + ", " + CHANGES + " SELECT rev, op, rid, sid FROM chg WHERE rev % 5000 = 0")
+def watch_content(spark, d):
+    """Only what changes the schema, by the content mask."""
+    found = watch.changes(_log_with_schema(spark, d), 0, content=watch.SCHEMA)
+    return found.select("rev", "op", F.col("resource_id").alias("rid"), F.col("subject_id").alias("sid"))
+
+
+@query("WITH " + INTERVALS + ", " + CHANGES + " SELECT DISTINCT rev FROM chg WHERE rid = '3'")
+def watch_revisions(spark, d):
+    """Revisions without a wanted change don't come out."""
+    return watch.changes(_log(spark, d), 0, filters=(Filter(type="item", ids=("3",)),)).select("rev").distinct()
+
+
+@query("WITH " + INTERVALS + ", " + CHANGES + " SELECT rev, op, rid, sid FROM chg UNION ALL SELECT max(rev), 'checkpoint', '', '' FROM chg")
+def watch_stream(spark, d):
+    """The feed as a stream over log files: all changes, and the last checkpoint."""
+    import uuid
+
+    from .model import CHANGELOG
+    from .sources import files
+
+    base = f"{fixpoint.shared_folder(spark)}/quillon-feed-{uuid.uuid4().hex}"
+    log = _log(spark, d).withColumn("tx_metadata", F.lit(None).cast("string"))
+    files.changelog(log.select(*CHANGELOG.names), f"{base}/log")
+
+    def sink(found: DataFrame, mark: DataFrame) -> None:
+        out = found.select("rev", "op", F.col("resource_id").alias("rid"), F.col("subject_id").alias("sid"))
+        out.unionByName(mark.select("rev", F.lit("checkpoint").alias("op"), F.lit("").alias("rid"), F.lit("").alias("sid"))).write.mode("append").parquet(f"{base}/out")
+
+    watch.watch(spark, f"{base}/log", f"{base}/state", sink).awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    marks = out.filter("op = 'checkpoint'").groupBy("op", "rid", "sid").agg(F.max("rev").alias("rev"))
+    return out.filter("op <> 'checkpoint'").unionByName(marks.select("rev", "op", "rid", "sid"))
+
+
+@query(w("owner") + "SELECT rid, sid, CAST(5 AS BIGINT) AS created_rev FROM rel")
+def bulk_import_feed(spark, d):
+    """An import reaches the change feed: its log folds to the imported rows."""
+    s = store.Store(spark, world.SCHEMA)
+    s.bulk_import(world.relationships(spark, d, "owner"), now_ns=5)
+    return watch.folded(s.log).select(F.col("resource_id").alias("rid"), F.col("subject_id").alias("sid"), "created_rev")
+
+
+def _nations(spark, d, op: str) -> DataFrame:
+    return world.relationships(spark, d, "region").select(F.lit(op).alias("op"), "*")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS rid, CAST(n_nationkey AS VARCHAR) AS sid, rev, op, meta AS tx_metadata FROM nation, (VALUES (CAST(10 AS BIGINT), 'touch', '{\"by\":\"tom\",\"why\":1}'), (CAST(20 AS BIGINT), 'delete', '')) v(rev, op, meta)")
+def tx_metadata(spark, d):
+    """Changes with the metadata of the transaction that made them."""
+    s = store.Store(spark, world.SCHEMA)
+    s.commit(store.Commit(updates=_nations(spark, d, "touch"), metadata={"why": 1, "by": "tom"}), 10)
+    s.commit(store.Commit(delete=Filter(type="region")), 20)
+    return s.log.select(F.col("resource_id").alias("rid"), F.col("subject_id").alias("sid"), "rev", "op", F.coalesce("tx_metadata", F.lit("")).alias("tx_metadata"))
+
+
+def outcome(f) -> str:
+    try:
+        return str(f())
+    except ValueError as e:
+        return f"{type(e).__name__}"
+
+
+COMMITS = [("create", "100"), ("create again", "Conflict"), ("touch, clock behind", "101"), ("head moved", "Conflict"), ("precondition", "Conflict"), ("orphaning schema", "Conflict"), ("unknown relation", "Conflict"), ("delete", "300"), ("head", "300")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(map(str, COMMITS))}) v(step, result)")
+def commit_order(spark, d):
+    """What each step of a history of commits gives: its revision, or a refusal that changes nothing."""
+    s, one = store.Store(spark, world.SCHEMA), store.Commit
+    bad = _nations(spark, d, "touch").withColumn("resource_rel", F.lit("nosuch"))
+    steps = {
+        "create": lambda: s.commit(one(updates=_nations(spark, d, "create")), 100)[0],
+        "create again": lambda: s.commit(one(updates=_nations(spark, d, "create")), 200)[0],
+        "touch, clock behind": lambda: s.commit(one(updates=_nations(spark, d, "touch")), 50)[0],
+        "head moved": lambda: s.commit(one(updates=_nations(spark, d, "touch"), expected_head=100), 200)[0],
+        "precondition": lambda: s.commit(one(updates=_nations(spark, d, "touch"), preconditions=[("none", Filter(type="region"), False)]), 200)[0],
+        "orphaning schema": lambda: s.commit(one(schema="definition user {}"), 200)[0],
+        "unknown relation": lambda: s.commit(one(updates=bad), 200)[0],
+        "delete": lambda: s.commit(one(delete=Filter(type="region")), 300)[0],
+        "head": lambda: s.head,
+    }
+    return literal(spark, [(name, outcome(f)) for name, f in steps.items()], "step string, result string")
+
+
+RESOLVED = [("full", "100"), ("latency", "50"), ("fresh behind", "50"), ("fresh ahead", "70"), ("exact", "30"), ("exact, collected", "Conflict"), ("exact, to come", "Conflict"), ("feed, collected", "Gone"), ("feed, both filters", "ValueError")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(map(str, RESOLVED))}) v(step, result)")
+def revision_resolve(spark, d):
+    at = lambda how, **k: store.resolve(how, 100, 57, quantum_ns=10, **k)
+    log = _log(spark, d)
+    steps = {
+        "full": lambda: at("full"), "latency": lambda: at("latency"), "fresh behind": lambda: at("fresh", at=40), "fresh ahead": lambda: at("fresh", at=70), "exact": lambda: at("exact", at=30),
+        "exact, collected": lambda: at("exact", at=3, floor=5), "exact, to come": lambda: at("exact", at=101),
+        "feed, collected": lambda: watch.changes(log, 5, floor=10), "feed, both filters": lambda: watch.changes(log, 5, types=("item",), filters=(Filter(),)),
+    }
+    return literal(spark, [(name, outcome(f)) for name, f in steps.items()], "step string, result string")
+
+
+FLAT = [("group#member", True), ("nation#member", True), ("order#any", True), ("order#held", True), ("order#own", False), ("order#pay", False), ("order#read", True), ("order#rep", False), ("order#seen", False), ("order#viewer", False), ("region#member", True)]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({a!r}, {str(b).lower()})' for a, b in FLAT)}) v(node, flat)")
+def coverage(spark, d):
+    """Whether a permission is reachability over stored tuples alone."""
+    return literal(spark, [(name, graph.flattens(schema(), tuple(name.split("#")))) for name, _ in FLAT], "node string, flat boolean")
+
+
+@query(_row("CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE 7 END % 2 = 1", "customer", "c_custkey"))
+def cel_optionals(spark, d):
+    key = F.col("c_custkey")
+    return _cel(spark, d, "(there ? optional.of(n) : optional.none()).orValue(7) % 2 == 1 && optional.of(n).hasValue() && !optional.none().hasValue()", "n int, there bool", "customer", {"n": key, "there": key % 3 == 0}, "c_custkey")
+
+
+CAVEATS = [("holds", "True "), ("fails", "False "), ("missing", "None total"), ("missing by whole words", "None n,total"), ("stored wins", "True "), ("unknown names", "True "), ("wrong type", "CelError"), ("no boolean", "CelError"), ("error", "CelError")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(map(str, CAVEATS))}) v(step, result)")
+def caveat_outcomes(spark, d):
+    """Verdicts, missing inputs and errors of caveats."""
+    from .functions import cel
+
+    def one(body: str, stored: dict, asked: dict | None = None, **params: str) -> str:
+        holds, missing = cel.decide(body, params or {"n": "int", "total": "int"}, stored, asked)
+        return f"{holds} {','.join(missing)}"
+
+    steps = {
+        "holds": lambda: one("n < total", {"n": 1, "total": 2}), "fails": lambda: one("n < total", {"n": 3, "total": 2}),
+        "missing": lambda: one("n < total", {"n": 3}), "missing by whole words": lambda: one("n < total && nn == 1", {"nn": 1}, n="int", nn="int", total="int", tot="int"),
+        "stored wins": lambda: one("n < total", {"n": 1, "total": 2}, {"n": 9}), "unknown names": lambda: one("n == 1", {"n": 1, "other": 2}, n="int"),
+        "wrong type": lambda: one("n < total", {"n": "x", "total": 2}), "no boolean": lambda: one("n + total", {"n": 1, "total": 2}), "error": lambda: one("n / total == 1", {"n": 1, "total": 0}),
+    }
+    return literal(spark, [(name, outcome(f)) for name, f in steps.items()], "step string, result string")
+
+
+DEPTHS = [("closure of 3 steps, 3 allowed", "4"), ("closure of 3 steps, 2 allowed", "DepthError"), ("walk of 3 steps, 5 deep", "member"), ("walk of 3 steps, 3 deep", "DepthError")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(map(str, DEPTHS))}) v(step, result)")
+def depth_guard(spark, d):
+    """Work deeper than the limit raises; nothing is left out."""
+    from .model import DepthError
+    from .operators import strict
+
+    chain = literal(spark, [("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    seeds = literal(spark, [("a", "a")], "start string, node string")
+    groups = [(("group", x, "member", "group", y, "member"), (k3.A, frozenset())) for x, y in ("ab", "bc", "cd")] + [(("group", "d", "member", "user", "u", "..."), (k3.A, frozenset()))]
+    walked = lambda depth: "member" if strict.Walk(schema(), groups, depth).check(("group", "a", "member"), ("user", "u", "...")) else "notMember"
+
+    def guarded(f) -> str:
+        try:
+            return str(f())
+        except DepthError:
+            return "DepthError"
+
+    steps = {
+        "closure of 3 steps, 3 allowed": lambda: fixpoint.closure(chain, seeds, 3).count(), "closure of 3 steps, 2 allowed": lambda: fixpoint.closure(chain, seeds, 2).count(),
+        "walk of 3 steps, 5 deep": lambda: walked(5), "walk of 3 steps, 3 deep": lambda: walked(3),
+    }
+    return literal(spark, [(name, guarded(f)) for name, f in steps.items()], "step string, result string")
