@@ -109,14 +109,17 @@ def intersect(a: SubjectSet, b: SubjectSet, spark) -> SubjectSet:
         rows = listing.rows.select(*KEYS, F.col("c").alias("ca"))
         rows = rows.join(named.select(*KEYS, F.col("c").alias("cb"), F.col("e").alias("eb")), KEYS, "left")
         rows = rows.join(everybody.select(*GROUP, F.col("c").alias("wb")), GROUP, "left")
-        ca, cb, eb, wb = _c("ca", "cb", "eb", "wb")
-        c = k3.or_(k3.and_(ca, cb), k3.and_(ca, _apart(wb, eb)))
-        return SubjectSet(rows.select(*KEYS, c.alias("c"), k3.none().alias("e")).filter("c is not null"), conditional=cond)
+        ca, cb, eb, wb, x, y = _c("ca", "cb", "eb", "wb", "x", "y")
+        rows = rows.withColumns({"x": k3.and_(ca, cb), "y": _apart(wb, eb)}).withColumn("y", k3.and_(ca, y))
+        return SubjectSet(rows.select(*KEYS, k3.or_(x, y).alias("c"), k3.none().alias("e")).filter("c is not null"), conditional=cond)
     single, both = _pair(a, b, "inner")
     ca, ea, cb, eb, wa, wb = _c("ca", "ea", "cb", "eb", "wa", "wb")
-    c = k3.or_(k3.or_(k3.and_(ca, cb), k3.and_(ca, _apart(wb, eb))), k3.and_(cb, _apart(wa, ea)))
+    x, y, z = _c("x", "y", "z")
     e = F.when(wa.isNotNull() & wb.isNotNull(), k3.or_(ea, eb))
-    single = single.select(*KEYS, c.alias("c"), e.alias("e")).filter("c is not null or e is not null")
+    # step by step, since each operation names its operands several times
+    single = single.withColumns({"x": k3.and_(ca, cb), "y": _apart(wb, eb), "z": _apart(wa, ea), "e": e})
+    single = single.withColumns({"y": k3.and_(ca, y), "z": k3.and_(cb, z)}).withColumn("x", k3.or_(x, y))
+    single = single.select(*KEYS, k3.or_(x, z).alias("c"), "e").filter("c is not null or e is not null")
     everybody = both.select(*GROUP, F.lit(WILDCARD).alias("sid"), k3.and_(wa, wb).alias("c"), k3.none().alias("e"))
     return SubjectSet(single.unionByName(everybody), a.wild and b.wild, cond)
 
@@ -140,13 +143,14 @@ def exclude(a: SubjectSet, b: SubjectSet) -> SubjectSet:
         return SubjectSet(rows.filter("c is not null or e is not null").unionByName(everybody), True, cond)
     single, both = _pair(a, b, "left")
     ca, ea, cb, eb, wa, wb = _c("ca", "ea", "cb", "eb", "wa", "wb")
-    left = k3.minus(ca, cb)
+    left, open_, x, kept = _c("left", "open", "x", "kept")
+    single = single.withColumns({"left": k3.minus(ca, cb), "open": k3.or_keep(k3.not_(wb), eb), "x": k3.and_(wa, eb), "e": F.when(wa.isNotNull(), k3.or_(ea, cb))})
+    single = single.withColumn("x", _apart(x, ea))
     # everybody's removal spares those whom b's wildcard excludes for certain, and conditionally those it may exclude
-    spared = F.when(wb.isNull() | (eb["st"] == k3.A), left).when(eb.isNull(), k3.minus(left, wb)).otherwise(k3.and_(left, k3.or_keep(k3.not_(wb), eb)))
+    spared = F.when(wb.isNull() | (eb["st"] == k3.A), left).when(eb.isNull(), k3.minus(left, wb)).otherwise(k3.and_(left, open_))
     # whom b's wildcard excludes but a's covers, stays as a listed subject, less what b lists
-    kept = F.when(wb.isNotNull() & eb.isNotNull(), k3.minus(_apart(k3.and_(wa, eb), ea), cb))
-    e = F.when(wa.isNotNull(), k3.or_(ea, cb))
-    single = single.select(*KEYS, k3.or_(spared, kept).alias("c"), e.alias("e"))
+    single = single.withColumns({"left": spared, "kept": F.when(wb.isNotNull() & eb.isNotNull(), k3.minus(x, cb))})
+    single = single.select(*KEYS, k3.or_(left, kept).alias("c"), "e")
     everybody = both.select(*GROUP, F.lit(WILDCARD).alias("sid"), k3.minus(wa, wb).alias("c"), k3.none().alias("e")).filter("c is not null")
     gone = everybody.select(*GROUP, F.lit(True).alias("has"))
     single = single.join(gone, GROUP, "left").withColumn("e", F.when(F.col("has"), F.col("e"))).drop("has")
@@ -167,9 +171,8 @@ def every(targets: DataFrame, s: SubjectSet, spark) -> SubjectSet:
     single = rows.filter(F.col("sid") != WILDCARD)
     grid = single.select(*KEYS).distinct().join(targets.distinct(), "rid")
     grid = grid.join(single, [*KEYS, "target"], "left").join(everybody, [*GROUP, "target"], "left")
-    value = k3.or_(F.col("c"), _apart(F.col("w"), F.col("e")))
     both = everybody.groupBy(*GROUP).agg(k3.all_of(F.col("w")).alias("w"), F.count("*").alias("k")).join(n, "rid").filter("k = n")
-    grid = grid.withColumn("v", value).groupBy(*KEYS).agg(
+    grid = grid.withColumn("w", _apart(F.col("w"), F.col("e"))).withColumn("v", k3.or_(F.col("c"), F.col("w"))).groupBy(*KEYS).agg(
         k3.all_of(F.col("v")).alias("v"), F.count("v").alias("k"), F.count("c").alias("listed"), k3.any_of(F.col("e")).alias("e")
     )
     grid = grid.join(n, "rid").join(both.select(*GROUP, F.lit(True).alias("has")), GROUP, "left")
@@ -199,7 +202,7 @@ def granted(s: SubjectSet, asked: DataFrame) -> DataFrame:
         return out.withColumnRenamed("k_c", "k").drop("k_e")
     everybody = s.rows.filter(F.col("sid") == WILDCARD).groupBy("rid", "stype").agg(k3.any_of(F.col("c")).alias("k_w"))
     out = out.join(everybody, ["rid", "stype"], "left")
-    return out.withColumn("k", k3.or_(F.col("k_c"), _apart(F.col("k_w"), F.col("k_e")))).drop("k_c", "k_e", "k_w")
+    return out.withColumn("k_w", _apart(F.col("k_w"), F.col("k_e"))).withColumn("k", k3.or_(F.col("k_c"), F.col("k_w"))).drop("k_c", "k_e", "k_w")
 
 
 def identity(objects: DataFrame, type_: str) -> SubjectSet:
