@@ -77,13 +77,13 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of Arrow batches of about STEP_BYTES of text each, with that text as UTF-8."""
+def steps(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of Arrow batches of about ``size`` bytes of text each, with that text as UTF-8."""
     for batch in batches:
         texts = batch.column(column).cast(pa.binary() if not pa.types.is_large_string(batch.column(column).type) else pa.large_binary()).to_pylist()
         start = total = 0
         for i, t in enumerate(texts):
-            if i > start and total + len(t) > STEP_BYTES:
+            if i > start and total + len(t) > size:
                 yield batch.slice(start, i - start), texts[start:i]
                 start, total = i, 0
             total += len(t)

@@ -133,7 +133,7 @@ def _count(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[np.ndarray] = []
         pairs: list[np.ndarray] = []
-        for _, texts in common.steps(batches):
+        for _, texts in common.steps(batches, size=common.BATCH_BYTES):
             h, at = tokens(texts)
             words.append(h)
             pairs.append(pair_keys(h, at))
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in common.steps(batches):
+        for rows, texts in common.steps(batches, size=common.BATCH_BYTES):
             n, known, base, own = model.score(texts)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").cast(pa.int64()), *map(pa.array, (n, known, np.full(len(n), model.tokens), base, own, 10 ** np.minimum(300.0, -own / n)))],

@@ -3,9 +3,13 @@ temperature-calibrated probabilities.
 
 Tokens are runs of letters and digits, and runs of other marks; each also has a shape, its letters and digits
 replaced by their class. Every token's index vector has four entries of +-1 among DIM, taken from its crc32.
-A word's vector is the sum of the index vectors that stand within two places of it in the sample, of unit
-length (random indexing), for the VOCABULARY most frequent tokens. A document is the mean index vector of its tokens
-and of their shapes, its mean word vector, and two numbers: distinct tokens per token, and log length.
+A word's vector is the sum of the index vectors that stand within two places of it in any document, of unit length
+(random indexing). All documents count, labelled or not. Words share a table of BUCKETS vectors by a hash, so every
+word has one and the table's size doesn't depend on the corpus. A document is the mean index vector of its tokens and
+of their shapes, its mean word vector, and two numbers: distinct tokens per token, and log length.
+
+Each task sums its own table and passes it on in BLOCKS parts; a part's sums are added up as they come, first by
+groups of tasks, then all.
 
 The network (tanh layer, logistic output) learns from parts 0 to 7 of a bounded sample; parts 8 and 9 set the
 temperature by which its logits are divided.
@@ -29,7 +33,8 @@ from . import common, labelled
 
 #: About so many documents of each label, at most, are learnt from.
 FIT_ROWS = 6_000
-DIM, VOCABULARY, HIDDEN = 64, 4096, 32
+DIM, HIDDEN = 64, 32
+BUCKETS, BLOCKS, SALTS = 1 << 15, 64, 8
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 2e-3, 1e-4
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\sA-Za-z0-9_\x80-\xff]+")
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
@@ -62,8 +67,23 @@ def pooled(crc: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, DIM)
 
 
-def vectors(texts: list[bytes], vocabulary: np.ndarray, word_vectors: np.ndarray) -> np.ndarray:
-    """The pooled vector of each document. vocabulary: ascending crc32 of the words that have a vector."""
+def buckets(crc: np.ndarray) -> np.ndarray:
+    """Places in the table of word vectors."""
+    return ((crc * np.uint32(2654435761)) >> np.uint32(32 - (BUCKETS - 1).bit_length())).astype(np.int64)
+
+
+def summed(table: np.ndarray, place: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the table's rows at ``place`` for each owner (ascending)."""
+    out = np.zeros((n, table.shape[1]))
+    for i in range(0, len(place), 1 << 15):
+        o = owner[i : i + (1 << 15)]
+        first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+        out[o[first]] += np.add.reduceat(table[place[i : i + (1 << 15)]], first, axis=0)
+    return out
+
+
+def vectors(texts: list[bytes], table: np.ndarray) -> np.ndarray:
+    """The pooled vector of each document. table: word vectors, a row a bucket."""
     words, shapes, at = tokens(texts)
     n, count = len(texts), np.diff(at)
     owner = np.repeat(np.arange(n), count)
@@ -71,15 +91,7 @@ def vectors(texts: list[bytes], vocabulary: np.ndarray, word_vectors: np.ndarray
     per = np.maximum(count, 1)[:, None]
     out[:, :DIM] = pooled(words, owner, n) / per
     out[:, DIM : 2 * DIM] = pooled(shapes, owner, n) / per
-    if len(vocabulary):
-        place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        hit = vocabulary[place] == words
-        for a in range(0, n, 64):
-            b = min(n, a + 64)
-            part = slice(at[a], at[b])
-            cells = (owner[part] - a) * len(vocabulary) + place[part]
-            times = np.bincount(cells[hit[part]], minlength=(b - a) * len(vocabulary)).reshape(b - a, -1).astype(np.float32)
-            out[a:b, 2 * DIM : 3 * DIM] = times @ word_vectors / per[a:b]
+    out[:, 2 * DIM : 3 * DIM] = summed(table, buckets(words), owner, n) / per
     key = np.sort(owner.astype(np.uint64) << np.uint64(32) | words)
     distinct = np.bincount((key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(32)).astype(np.int64), minlength=n) if len(key) else np.zeros(n)
     out[:, -2] = distinct / per[:, 0]
@@ -87,33 +99,60 @@ def vectors(texts: list[bytes], vocabulary: np.ndarray, word_vectors: np.ndarray
     return out
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in common.steps(batches):
-        crc, n = np.unique(tokens(texts)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(crc.astype(np.int64)), pa.array(n.astype(np.int64))], names=["crc", "n"])
+def contexts(texts: list[bytes], sums: np.ndarray) -> None:
+    """Add to ``sums`` (BUCKETS * DIM) the index vectors within two places of each word, at the word's bucket."""
+    words, _, at = tokens(texts)
+    owner, place = np.repeat(np.arange(len(texts)), np.diff(at)), buckets(words) * DIM
+    for i in range(0, len(words), 1 << 17):
+        low, high = max(0, i - 2), min(len(words), i + (1 << 17) + 2)
+        where, sign = entries(words[low:high])
+        cells, signs = [], []
+        for d in (-2, -1, 1, 2):
+            mid = np.arange(max(i, -d), min(i + (1 << 17), len(words) - max(d, 0)))
+            mid = mid[owner[mid] == owner[mid + d]]
+            cells.append((place[mid][:, None] + where[mid + d - low]).ravel())
+            signs.append(sign[mid + d - low].ravel())
+        sums += np.bincount(np.concatenate(cells), np.concatenate(signs), len(sums))
 
 
-def _contexts(vocabulary: np.ndarray):
-    """Sums of the neighbours' index vectors for each word of the vocabulary, one row a task."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums, a row a block."""
+    sums = np.zeros(BUCKETS * DIM)
+    for _, texts in common.steps(batches, size=2 << 20):
+        contexts(texts, sums)
+    parts = [p.astype(np.int32).tobytes() for p in np.split(sums, BLOCKS)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "sums"])
+
+
+def _added(kind, to):
+    """Arrow function: blocks of the type ``kind`` added up, a row each of type ``to``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(vocabulary) * DIM)
-        for _, texts in common.steps(batches):
-            words, _, at = tokens(texts)
-            owner = np.repeat(np.arange(len(texts)), np.diff(at))
-            place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-            hit = vocabulary[place] == words
-            for d in (1, 2):
-                same = owner[d:] == owner[:-d]
-                for mid, side in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
-                    ok = same & hit[mid]
-                    where, sign = entries(words[side][ok])
-                    sums += np.bincount((place[mid][ok][:, None] * DIM + where).ravel(), sign.ravel(), len(sums))
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+                x = np.frombuffer(data.as_buffer(), kind)
+                total[block] = total[block] + x if block in total else x.astype(np.float64)
+        for block, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype(to).tobytes()], pa.binary())], names=["block", "sums"])
 
     return run
 
 
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The table of word vectors (BUCKETS, DIM), of unit length, from all documents."""
+    common.prepare(docs.sparkSession)
+    kind = "block int, sums binary"
+    sums = common.text_of(docs).select("text").mapInArrow(common.lean(_contexts), kind)
+    sums = sums.withColumn("salt", F.spark_partition_id() % SALTS).repartition(BLOCKS, "block", "salt").select("block", "sums")
+    sums = sums.mapInArrow(common.lean(_added(np.int32, np.int64)), kind).repartition(BLOCKS, "block")
+    table = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS))
+    for r in sums.mapInArrow(common.lean(_added(np.int64, np.int64)), kind).collect():  # BUCKETS * DIM numbers in all
+        table[r["block"]] = np.frombuffer(r["sums"], np.int64)
+    table = table.reshape(BUCKETS, DIM)
+    return (table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+
+
 class Network:
     """tanh layer and one logit; inputs standardised, logits divided by the temperature."""
 
@@ -157,27 +196,24 @@ class Network:
 
 
 class Model:
-    def __init__(self, vocabulary: np.ndarray, word_vectors: np.ndarray, network: Network) -> None:
-        self.vocabulary, self.word_vectors, self.network = vocabulary, word_vectors, network
+    def __init__(self, table: np.ndarray, network: Network) -> None:
+        self.table, self.network = table, network
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return self.network.probability(vectors(texts, self.vocabulary, self.word_vectors))
+        return self.network.probability(vectors(texts, self.table))
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column) -> Model | None:
-    """Word vectors, network and temperature from a bounded sample of the labelled rows that ``where`` admits."""
+    """Word vectors from all documents; network and temperature from a bounded sample of the labelled rows that
+    ``where`` admits."""
     rows = labelled.sample(docs, labels, "quality", where, FIT_ROWS)
-    top = rows.select("text").mapInArrow(common.lean(_frequent), "crc long, n long").groupBy("crc").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "crc").limit(VOCABULARY)
-    vocabulary = np.sort(np.array([r["crc"] for r in top.collect()], np.uint32))
-    word_vectors = np.zeros((0, DIM), np.float32)
-    if len(vocabulary):
-        sums = sum(np.frombuffer(r["sums"]) for r in rows.select("text").mapInArrow(common.lean(_contexts(vocabulary)), "sums binary").collect())
-        word_vectors = sums.reshape(-1, DIM)
-        word_vectors = (word_vectors / (np.linalg.norm(word_vectors, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+    if rows.isEmpty():
+        return None
+    table = word_vectors(docs)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.steps(batches):
-            x = vectors(texts, vocabulary, word_vectors)
+            x = vectors(texts, table)
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), part.column("label"), part.column("part")], names=["x", "label", "part"])
 
     seen = sorted(rows.mapInArrow(common.lean(measured), "x binary, label int, part int").collect(), key=lambda r: (r["part"], r["label"], r["x"]))
@@ -189,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     network = Network(x[fit], y[fit])
     if (~fit).any():
         network.calibrate(x[~fit], y[~fit])
-    return Model(vocabulary, word_vectors, network)
+    return Model(table, network)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

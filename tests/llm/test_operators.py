@@ -230,6 +230,25 @@ def test_quality_on_held_out_rows(spark):
     assert classified(spark, quality, "quality", 0) > 0.9
 
 
+def test_word_vectors_equal_plain_sums(spark):
+    texts = [*HARD[:5], "a b c a", "b a, c!", "d " * 30, "a b c a"]
+    sums = {}
+    for t in texts:
+        words = [zlib.crc32(w) for w in quality.TOKEN.findall((t or "").encode())]
+        for i, w in enumerate(words):
+            v = sums.setdefault(int(quality.buckets(np.array([w], np.uint32))[0]), np.zeros(quality.DIM))
+            for d in (-2, -1, 1, 2):
+                if 0 <= i + d < len(words):
+                    for k in range(4):
+                        byte = words[i + d] >> (8 * k) & 255
+                        v[byte & 63] += -1 if byte & 128 else 1
+    table = quality.word_vectors(frame(spark, texts).repartition(3))
+    for bucket in range(quality.BUCKETS):
+        v = sums.get(bucket, np.zeros(quality.DIM))
+        assert np.allclose(table[bucket], v / (np.linalg.norm(v) + 1e-9), atol=1e-6)
+    assert not quality.word_vectors(frame(spark, [])).any()
+
+
 def test_models_without_labels(spark):
     docs, none = frame(spark, ["a", None]), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert toxicity.train(docs, none, toxicity.learners()) is None and quality.train(docs, none, quality.learners()) is None
