@@ -34,18 +34,23 @@ from . import common, labelled
 #: About so many documents of each label, at most, are learnt from.
 FIT_ROWS = 6_000
 DIM, HIDDEN = 64, 32
-BUCKETS, BLOCKS, SALTS = 1 << 15, 64, 8
+BUCKETS, BLOCKS, SALTS = 1 << 14, 64, 8
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 2e-3, 1e-4
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\sA-Za-z0-9_\x80-\xff]+")
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
 SIZE = 3 * DIM + 2
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(crc32 of tokens, of their shapes, offsets)."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(crc32 of tokens, offsets)."""
     found = [TOKEN.findall(t) for t in texts]
     at = np.cumsum([0] + [len(f) for f in found])
-    words = np.fromiter((c for f in found for c in map(zlib.crc32, f)), np.uint32, at[-1])
+    return np.fromiter((c for f in found for c in map(zlib.crc32, f)), np.uint32, at[-1]), at
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(crc32 of tokens, of their shapes, offsets)."""
+    words, at = words_of(texts)
     memo: dict[bytes, int] = {}
     shapes = np.empty(at[-1], np.uint32)
     for i, t in enumerate(texts):  # translation keeps token bounds
@@ -101,17 +106,21 @@ def vectors(texts: list[bytes], table: np.ndarray) -> np.ndarray:
 
 def contexts(texts: list[bytes], sums: np.ndarray) -> None:
     """Add to ``sums`` (BUCKETS * DIM) the index vectors within two places of each word, at the word's bucket."""
-    words, _, at = tokens(texts)
-    owner, place = np.repeat(np.arange(len(texts)), np.diff(at)), buckets(words) * DIM
+    words, at = words_of(texts)
+    owner, place = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at)), buckets(words) * DIM
     for i in range(0, len(words), 1 << 17):
-        low, high = max(0, i - 2), min(len(words), i + (1 << 17) + 2)
+        low, high = max(0, i - 2), min(len(words), i + (1 << 17) + 2)  # two words more on both sides
         where, sign = entries(words[low:high])
+        own, cell = owner[low:high], place[low:high, None]
+        inside = np.zeros(high - low, bool)
+        inside[i - low : i - low + (1 << 17)] = True
         cells, signs = [], []
-        for d in (-2, -1, 1, 2):
-            mid = np.arange(max(i, -d), min(i + (1 << 17), len(words) - max(d, 0)))
-            mid = mid[owner[mid] == owner[mid + d]]
-            cells.append((place[mid][:, None] + where[mid + d - low]).ravel())
-            signs.append(sign[mid + d - low].ravel())
+        for d in (1, 2):
+            same = own[d:] == own[:-d]
+            for mid, side in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
+                ok = same & inside[mid]
+                cells.append((cell[mid][ok] + where[side][ok]).ravel())
+                signs.append(sign[side][ok].ravel())
         sums += np.bincount(np.concatenate(cells), np.concatenate(signs), len(sums))
 
 
