@@ -19,7 +19,7 @@ chunks combine associatively. A state at a cut says how many characters the piec
 5. Every chunk is backtraced on its own between its two states, and the pieces are put together again.
 
 Words repeat, so the path between two forced boundaries (before a space that follows another character: no piece
-has a space inside) is remembered by its text in a bounded table.
+has a space inside) is remembered by its text in bounded tables: as one fills, the one before it is forgotten.
 
 Vocabulary and scores are read from a public model file, whose path is a parameter; scores are used as that
 file has them, characters without a piece become their UTF-8 bytes, and ties of paths go to the longer last piece, and so on backwards.
@@ -48,7 +48,8 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 14
-MEMO, MEMO_LENGTH = 100_000, 48
+#: Stretches in each of the two tables of remembered ones, and the longest of them.
+MEMO, MEMO_LENGTH = 180_000, 48
 SPACE = "▁"
 #: What lies between forced boundaries.
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -187,20 +188,39 @@ class Merges:
         #: Characters that some piece has side by side: merges stay between all others.
         self.inside = {p[i : i + 2] for p in v.ids for i in range(len(p) - 1)}
         self.memo: dict[str, bytes] = {}
-
-    def joined(self, text: str) -> list[str]:
-        """The pieces of a short stretch."""
-        get, parts = self.scores.get, list(text)
-        worth = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
-        while worth and (best := max(worth)) > NEVER:
-            i = worth.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del worth[i]
+        self.past: dict[str, bytes] = {}
+        #: Numbers of pieces and of all characters; a piece's number is its id, those of other characters lie above.
+        self.numbers = {piece: i for piece, (_, i) in v.ids.items()}
+        self.above = len(v.text)
+        #: For two neighbours' numbers: the loss of joining them, and the joined piece's id.
+        self.losses: dict[int, float] = {}
+        self.joins: dict[int, int] = {}
+        for piece, (score, i) in v.ids.items():
+            for at in range(1, len(piece)):
+                a, b = self.number(piece[:at]), self.number(piece[at:])
+                if a is not None and b is not None:
+                    self.losses[a << 32 | b], self.joins[a << 32 | b] = -score, i
+
+    def number(self, part: str) -> int | None:
+        got = self.numbers.get(part)
+        return self.above + ord(part) if got is None and len(part) == 1 else got
+
+    def joined(self, text: str) -> bytes:
+        """The ids of a short stretch."""
+        numbers, above, get, joins = self.numbers.get, self.above, self.losses.get, self.joins
+        parts = [above + ord(c) if (n := numbers(c)) is None else n for c in text]
+        losses = [get(a << 32 | b, 1e30) for a, b in zip(parts, parts[1:], strict=False)]
+        while losses and (best := min(losses)) < 1e30:
+            i = losses.index(best)
+            new = parts[i] = joins[parts[i] << 32 | parts[i + 1]]
+            del parts[i + 1], losses[i]
             if i:
-                worth[i - 1] = get(parts[i - 1] + parts[i], NEVER)
-            if i < len(worth):
-                worth[i] = get(parts[i] + parts[i + 1], NEVER)
-        return parts
+                losses[i - 1] = get(parts[i - 1] << 32 | new, 1e30)
+            if i < len(losses):
+                losses[i] = get(new << 32 | parts[i + 1], 1e30)
+        if max(parts) >= above:  # characters without a piece
+            parts = [i for p in parts for i in ((p,) if p < above else self.v.fallback(chr(p - above))[1])]
+        return array("I", parts).tobytes()
 
     def queued(self, text: str) -> list[str]:
         """The pieces of a stretch of any length: the same merges from a heap over linked parts."""
@@ -238,9 +258,9 @@ class Merges:
                 out.append(self.coded(self.queued(part)) if len(part) > MEMO_LENGTH else self.memo.get(part) or self.path(part))
                 at = end
             return b"".join(out)
-        ids = self.coded(self.joined(text))
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
+        ids = self.past.get(text) or self.joined(text)
+        if len(self.memo) >= MEMO:  # what is used again moves on to the new table
+            self.memo, self.past = {}, self.memo
         self.memo[text] = ids
         return ids
 
@@ -256,8 +276,8 @@ class Merges:
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers, stretch by stretch."""
-        get, path = self.memo.get, self.path
-        return b"".join([get(x) or path(x) for x in self.v.stretches(text)])
+        path = self.path
+        return b"".join([self.memo.get(x) or path(x) for x in self.v.stretches(text)])
 
     def parts(self, text: str, limit: int) -> list[str]:
         """The text cut into parts of ``limit`` characters, or as many more as merges may reach over."""

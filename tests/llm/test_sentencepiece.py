@@ -91,7 +91,7 @@ def test_merges_equal_the_library_on_the_file_as_it_is(spark):
         assert [x for part in v.parts(sp.escaped(t), 100) for x in array("I", v.packed(part))] == want
         assert sp.decode(v.v, want) == t
     for t in texts[-3:]:
-        assert v.queued(sp.escaped(t)[:200]) == v.joined(sp.escaped(t)[:200])
+        assert v.coded(v.queued(sp.escaped(t)[:200])) == v.joined(sp.escaped(t)[:200])
     got = sp.encode(frame(spark, texts), chunk=256).collect()
     assert {x["doc_id"]: x["ids"] for x in got} == {i: engine.encode(t or "") for i, t in enumerate(texts)}
 
