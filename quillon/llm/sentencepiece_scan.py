@@ -49,7 +49,7 @@ from . import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 14
 #: Stretches in each of the two tables of remembered ones, and the longest of them.
-MEMO, MEMO_LENGTH = 180_000, 48
+MEMO, MEMO_LENGTH = 120_000, 48
 SPACE = "▁"
 #: What lies between forced boundaries.
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -189,6 +189,8 @@ class Merges:
         self.inside = {p[i : i + 2] for p in v.ids for i in range(len(p) - 1)}
         self.memo: dict[str, bytes] = {}
         self.past: dict[str, bytes] = {}
+        #: New stretches of the texts at hand, see ``packed_all``.
+        self.fresh: dict[str, bytes] = {}
         #: Numbers of pieces and of all characters; a piece's number is its id, those of other characters lie above.
         self.numbers = {piece: i for piece, (_, i) in v.ids.items()}
         self.above = len(v.text)
@@ -201,6 +203,73 @@ class Merges:
                 if a is not None and b is not None:
                     self.losses[a << 32 | b], self.joins[a << 32 | b] = -score, i
 
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """The pairs of neighbours in ascending order, their losses and joins; the number of each character."""
+        pairs = np.array(sorted(self.losses), np.int64)
+        chars = np.arange(0x110000, dtype=np.int64) + self.above
+        for c, i in self.numbers.items():
+            if len(c) == 1:
+                chars[ord(c)] = i
+        at = pairs.tolist()
+        return pairs, np.array([self.losses[k] for k in at]), np.array([self.joins[k] for k in at], np.int64), chars
+
+    def met(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The loss of joining a and b, 1e30 if they don't join, and what they make."""
+        pairs, losses, joins, _ = self.tables
+        if not len(pairs):
+            return np.full(a.shape, 1e30), np.zeros(a.shape, np.int64)
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        ok = (pairs[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(ok, losses[at], 1e30), joins[at]
+
+    def joined_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of short stretches of two characters or more, merged side by side: a row a stretch."""
+        sizes = np.array([len(t) for t in texts])
+        wide = int(sizes.max())
+        parts = np.full((len(texts), wide + 1), -1, np.int64)
+        parts[np.arange(wide + 1) < sizes[:, None]] = self.tables[3][np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        losses, _ = self.met(parts[:, :-1], parts[:, 1:])
+        column, rows = np.arange(wide + 1), np.arange(len(texts))
+        while len(rows):
+            p, w = parts[rows], losses[rows]
+            at = w.argmin(1)
+            r = np.arange(len(rows))
+            ok = w[r, at] < 1e30
+            rows, p, w, at = rows[ok], p[ok], w[ok], at[ok]
+            if not len(rows):
+                break
+            r = np.arange(len(rows))
+            new = self.met(p[r, at], p[r, at + 1])[1]
+            p = np.take_along_axis(p, np.minimum(column + (column > at[:, None]), wide), 1)
+            p[:, -1], p[r, at] = -1, new
+            w = np.take_along_axis(w, np.minimum(column[:-1] + (column[:-1] >= at[:, None]), wide - 1), 1)
+            w[:, -1] = 1e30
+            w[r, at] = self.met(new, p[r, at + 1])[0]
+            left = np.flatnonzero(at > 0)
+            w[left, at[left] - 1] = self.met(p[left, at[left] - 1], new[left])[0]
+            parts[rows], losses[rows] = p, w
+        out, above = [], self.above
+        for row, n, odd in zip(parts, (parts >= 0).sum(1).tolist(), (parts.max(1) >= above).tolist(), strict=True):
+            ids = row[:n]
+            if odd:  # characters without a piece
+                ids = [i for x in ids.tolist() for i in ((x,) if x < above else self.v.fallback(chr(x - above))[1])]
+            out.append(np.asarray(ids, np.uint32).tobytes())
+        return out
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """``packed`` of many texts, whose new stretches are merged together."""
+        memo, past = self.memo, self.past
+        new = {x for t in texts for x in self.v.stretches(t) if x not in memo and x not in past and 1 < len(x) <= MEMO_LENGTH}
+        found = sorted(new, key=len)
+        for i in range(0, len(found), 2048):
+            part = found[i : i + 2048]
+            self.fresh.update(zip(part, self.joined_all(part), strict=True))
+        out = [self.packed(t) for t in texts]
+        self.fresh = {}
+        return out
+
     def number(self, part: str) -> int | None:
         got = self.numbers.get(part)
         return self.above + ord(part) if got is None and len(part) == 1 else got
@@ -258,7 +327,7 @@ class Merges:
                 out.append(self.coded(self.queued(part)) if len(part) > MEMO_LENGTH else self.memo.get(part) or self.path(part))
                 at = end
             return b"".join(out)
-        ids = self.past.get(text) or self.joined(text)
+        ids = self.past.get(text) or self.fresh.get(text) or self.joined(text)
         if len(self.memo) >= MEMO:  # what is used again moves on to the new table
             self.memo, self.past = {}, self.memo
         self.memo[text] = ids
@@ -494,7 +563,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = encoder(model)
         for part, texts in common.steps(batches):
-            ids = [v.packed(escaped(t.decode("utf-8", "surrogatepass"))) if t else b"" for t in texts]
+            whole = [escaped(t.decode("utf-8", "surrogatepass")) for t in texts]
+            ids = v.packed_all(whole) if isinstance(v, Merges) else [v.packed(t) if t else b"" for t in whole]
             yield _batch(part, ["doc_id"], ids=id_lists(ids), chunks=pa.array([1] * len(ids), pa.int32()))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,7 +599,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = encoder(model)
         for batch in batches:
-            yield _batch(batch, ["row_id", "doc_id", "k"], ids=id_lists([v.packed(t) for t in batch.column("part").to_pylist()]))
+            yield _batch(batch, ["row_id", "doc_id", "k"], ids=id_lists(v.packed_all(batch.column("part").to_pylist())))
 
     def together(found: DataFrame) -> DataFrame:
         found = found.groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("l"))

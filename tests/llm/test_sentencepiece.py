@@ -92,6 +92,9 @@ def test_merges_equal_the_library_on_the_file_as_it_is(spark):
         assert sp.decode(v.v, want) == t
     for t in texts[-3:]:
         assert v.coded(v.queued(sp.escaped(t)[:200])) == v.joined(sp.escaped(t)[:200])
+        if len(sp.escaped(t)) > 1:
+            short = [sp.escaped(t)[:40], sp.escaped(t)[:2]]
+            assert v.joined_all(short) == [v.joined(x) for x in short]
     got = sp.encode(frame(spark, texts), chunk=256).collect()
     assert {x["doc_id"]: x["ids"] for x in got} == {i: engine.encode(t or "") for i, t in enumerate(texts)}
 
