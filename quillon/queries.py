@@ -883,51 +883,51 @@ def _algebra(state: str) -> str:
     return f"WITH {DEALS} {_verdict_sql('st')} FROM (SELECT s AS rid, c AS sid, {state} AS st FROM deals) x"
 
 
-def _asked(spark, d) -> DataFrame:
+def _all_deals(spark, d) -> DataFrame:
     return _deals(spark, d).select(F.col("s").alias("rid"), F.col("c").alias("sid"))
 
 
 @query(_algebra("greatest({left}, {right})"))
 def wild_union(spark, d):
     """Public wildcards on both sides, with conditions."""
-    return _verdicts(spark, d, "doc", "either", _asked(spark, d), "left", "right")
+    return _verdicts(spark, d, "doc", "either", _all_deals(spark, d), "left", "right")
 
 
 @query(_algebra("least({left}, {right})"))
 def wild_intersection(spark, d):
-    return _verdicts(spark, d, "doc", "both", _asked(spark, d), "left", "right")
+    return _verdicts(spark, d, "doc", "both", _all_deals(spark, d), "left", "right")
 
 
 @query(_algebra("least({left}, 2 - {right})"))
 def wild_exclusion(spark, d):
     """A wildcard less a wildcard."""
-    return _verdicts(spark, d, "doc", "rest", _asked(spark, d), "left", "right")
+    return _verdicts(spark, d, "doc", "rest", _all_deals(spark, d), "left", "right")
 
 
 @query(_algebra("least({plain}, 2 - {left})"))
 def listed_less_wild(spark, d):
-    return _verdicts(spark, d, "doc", "listed_rest", _asked(spark, d), "left", "plain")
+    return _verdicts(spark, d, "doc", "listed_rest", _all_deals(spark, d), "left", "plain")
 
 
 @query(_algebra("least({plain}, {left})"))
 def listed_and_wild(spark, d):
-    return _verdicts(spark, d, "doc", "listed_both", _asked(spark, d), "left", "plain")
+    return _verdicts(spark, d, "doc", "listed_both", _all_deals(spark, d), "left", "plain")
 
 
 @query(_algebra("least({left}, 2 - {plain})"))
 def wild_less_listed(spark, d):
-    return _verdicts(spark, d, "doc", "open_rest", _asked(spark, d), "left", "plain")
+    return _verdicts(spark, d, "doc", "open_rest", _all_deals(spark, d), "left", "plain")
 
 
 @query(_algebra("greatest({left}, {plain})"))
 def wild_or_listed(spark, d):
     """A wildcard weakened by listed subjects, and the other way round."""
-    return _verdicts(spark, d, "doc", "listed_either", _asked(spark, d), "left", "plain")
+    return _verdicts(spark, d, "doc", "listed_either", _all_deals(spark, d), "left", "plain")
 
 
 @query(_algebra("least(greatest({left}, {plain}), 2 - least({right}, {left}))"))
 def nested_algebra(spark, d):
-    return _verdicts(spark, d, "doc", "nested", _asked(spark, d), "left", "right", "plain")
+    return _verdicts(spark, d, "doc", "nested", _all_deals(spark, d), "left", "right", "plain")
 
 
 def _hubs(how: str) -> str:
@@ -1144,10 +1144,10 @@ def caveat_outcomes(spark, d):
     return literal(spark, [(name, outcome(f)) for name, f in steps.items()], "step string, result string")
 
 
-DEPTHS = [("closure of 3 steps, 3 allowed", "4"), ("closure of 3 steps, 2 allowed", "DepthError"), ("walk of 3 steps, 5 deep", "member"), ("walk of 3 steps, 3 deep", "DepthError")]
+GUARDED = [("closure of 3 steps, 3 allowed", "4"), ("closure of 3 steps, 2 allowed", "DepthError"), ("walk of 3 steps, 5 deep", "member"), ("walk of 3 steps, 3 deep", "DepthError")]
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(map(str, DEPTHS))}) v(step, result)")
+@query(f"SELECT * FROM (VALUES {', '.join(map(str, GUARDED))}) v(step, result)")
 def depth_guard(spark, d):
     """Work deeper than the limit raises; nothing is left out."""
     from .model import DepthError
