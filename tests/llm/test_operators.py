@@ -7,8 +7,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from quillon.llm import fingerprints, language_model, media, mixing, near_dedup, quality, textvec, toxicity
+from quillon.llm import common, fingerprints, language_model, media, mixing, near_dedup, quality, textvec, toxicity
 
 from .data import HARD, frame, noise
 
@@ -138,6 +140,49 @@ def test_language_model_equals_plain_counts(spark, tmp_path):
     assert math.isclose(sum(pair(a, w) for w in before) + pair(a, b"never seen"), 1.0, rel_tol=1e-9)
 
 
+def test_language_model_blocks():
+    r = np.random.default_rng(4)
+    for arrays in ([[]], [[0]], [[5, 300, 0], [2**64 - 1, 1, 2**32]], [r.integers(0, 2**63, 1000), r.integers(0, 9, 7)]):
+        arrays = [np.array(a, np.uint64) for a in arrays]
+        assert [a.tolist() for a in language_model.unpack(language_model.pack(*arrays))] == [a.tolist() for a in arrays]
+    few = r.integers(1, 2**63, 40).astype(np.uint64) * np.uint64(2)
+    v, w = few[r.integers(0, 40, 500)], few[r.integers(0, 40, 500)]
+    n = r.integers(1, 2**40, 500)
+    back = language_model.unpack_pairs(language_model.pack_pairs(v, w, n))
+    assert sorted(zip(*(a.tolist() for a in back), strict=True)) == sorted(zip(v.tolist(), w.tolist(), n.tolist(), strict=True))
+
+
+def test_language_model_tables_over_many_flushes(monkeypatch, tmp_path):
+    """Counting with several flushes a task, several tasks and several shards equals plain counts."""
+    monkeypatch.setattr(language_model, "HELD", 50)
+    r, shards = random.Random(8), 3
+    texts = [" ".join(r.choice("a b c d e f g h i j k l m n".split()) for _ in range(r.randrange(0, 60))) for _ in range(90)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(part)], names=["text"])
+    monkeypatch.setattr(common, "BATCH_BYTES", 200)
+    counts = [b for k in range(3) for b in language_model._count(shards)(iter([batch(texts[k::3])]))]
+    base = str(tmp_path)
+    pick = lambda batches, s: [b.filter(pc.equal(b.column("shard"), s)) for b in batches]
+    stats = [b for s in range(shards) for b in language_model._write_pairs(base, shards)(iter(pick(counts, s)))]
+    sums = [next(language_model._write_words(base)(iter(pick(stats, s)))).to_pylist()[0] for s in range(shards)]
+    h, at = language_model.tokens([t.encode() for t in texts])
+    before = language_model.histories(h, at)
+    words = collections.Counter(h.tolist())
+    pairs = collections.Counter(zip(before.tolist(), h.tolist(), strict=True))
+    assert sum(x["tokens"] for x in sums) == len(h) and sum(x["types"] for x in sums) == len(words)
+    assert [sum(x[f"n{k}"] for x in sums) for k in (1, 2, 3, 4)] == [sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)]
+    assert language_model.look_up(base, "vocab", shards, h)[0].tolist() == [words[w] for w in h.tolist()]
+    found = language_model.look_up(base, "pairs", shards, language_model.pair_keys(before, h))[0]
+    assert found.tolist() == [pairs[p] for p in zip(before.tolist(), h.tolist(), strict=True)]
+    got = np.array(language_model.look_up(base, "words", shards, before)).T.tolist()
+    for v, row in dict(zip(before.tolist(), got, strict=True)).items():
+        follow = [c for (a, _), c in pairs.items() if a == v]
+        assert row == [sum(follow), follow.count(1), follow.count(2), sum(c > 2 for c in follow), sum(b == v for _, b in pairs)]
+
+
+def test_language_model_without_rows(spark, tmp_path):
+    assert language_model.op10_lm_scoring(spark, save(frame(spark, []), tmp_path)).count() == 0
+
+
 def test_fingerprints(spark, tmp_path):
     r = random.Random(6)
     texts = [*HARD, *("".join(r.choice("abcdefgh ijkl\n") for _ in range(r.randrange(50, 6000))) for _ in range(20))]
