@@ -23,8 +23,9 @@ deviations below the expected overlap at the threshold: by the binomial tail a l
 a chance of 8.8e-6, one of 80 % with 4.2e-6, and higher ones less. ``k=None`` lists whole sets and loses none.
 
 Defined cases: null and empty texts, and texts of white space, have size 0 and link with nothing; fewer words
-than a window make one window; rows with equal doc_id share their fate; a null doc_id never names a class if
-another member has an id. Extra columns are not read.
+than a window make one window. Rows that share an id are told apart by their sets; such sets, and those of rows
+without an id, take part under a number made of the set's key. A component is named by the least id of its rows,
+null if none has one; ``kept`` marks every row of that id. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ DEPTH = 3
 PIVOT_LEAST = 0.4
 #: Ids that may be broadcast (8 bytes each); beyond, a shuffled join takes its place.
 BROADCAST_IDS = 2_000_000
+#: Rows (an id and a digest) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def common_values(percent: int, n: Column, k: int | None = K) -> Column:
@@ -61,8 +64,8 @@ def common_values(percent: int, n: Column, k: int | None = K) -> Column:
     return F.when(n <= int(t * k), all_).otherwise(far).cast("int")
 
 
-def _sets(words: int, most: int | None):
-    """Arrow function: size, key and the ``most`` smallest values of each document's set."""
+def _sets(words: int, most: int | None, more: tuple[str, ...] = ()):
+    """Arrow function: size, key and the ``most`` smallest values of each document's set, and ``more`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in common.steps(batches):
@@ -76,8 +79,8 @@ def _sets(words: int, most: int | None):
                 kept = values[textvec.np.concatenate([textvec.np.arange(a, min(b, a + most)) for a, b in zip(at, at[1:], strict=False)])]
                 offsets = textvec.np.concatenate([[0], textvec.np.cumsum(textvec.np.minimum(n, most))])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), common.lists(kept, offsets, pa.int64())],
-                names=["doc_id", "n", "key", "vals"],
+                [rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), common.lists(kept, offsets, pa.int64()), *map(rows.column, more)],
+                names=["doc_id", "n", "key", "vals", *more],
             )
 
     return run
@@ -87,7 +90,7 @@ _SCHEMA = "doc_id long, n long, key binary, vals array<long>"
 
 
 class _Search:
-    """Finds and confirms links between classes (cls, n, key, vals)."""
+    """Finds and confirms links between classes (cls, rep, n, key, vals): cls names one, rep is its least id or null."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, k: int | None) -> None:
         self.docs, self.classes, self.words, self.percent, self.k = docs, classes, words, percent, k
@@ -135,12 +138,14 @@ class _Search:
 
     def whole_sets(self, ids: DataFrame) -> DataFrame:
         """(cls, n, vals) of the classes (cls): their whole sets."""
-        few = ids.count() <= BROADCAST_IDS
-        ids = ids.select(F.col("cls").alias("doc_id"))
-        texts = common.text_of(self.docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        sets = texts.mapInArrow(common.lean(_sets(self.words, None)), _SCHEMA)
-        own = self.classes.select(F.col("cls").alias("doc_id"), "key")  # a repeated id may stand for another set
-        return sets.join(own, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "n", "vals")
+        wanted = cut(self.classes.select("cls", "rep", "key").join(ids, "cls", "left_semi"))
+        few = wanted.count() <= BROADCAST_IDS
+        texts, reps = common.text_of(self.docs), wanted.select("rep")
+        texts = texts.join(F.broadcast(reps) if few else reps, texts["doc_id"] == reps["rep"], "left_semi")
+        if not wanted.filter("rep is null").isEmpty():
+            texts = texts.unionByName(common.text_of(self.docs).filter("doc_id is null"))
+        sets = texts.mapInArrow(common.lean(_sets(self.words, None)), _SCHEMA).dropDuplicates(["key"])
+        return sets.select("key", "n", "vals").join(wanted.select("key", "cls"), "key").select("cls", "n", "vals")
 
     def against_pivots(self, lists: DataFrame) -> DataFrame:
         """Compare each list (v, cls, n, m, hub, pre) with its pivot. The rows of lists that then still span several
@@ -190,32 +195,60 @@ class _Search:
             lists = self.split(rest, prefixes)
 
 
+def _named(classes: DataFrame) -> DataFrame:
+    """Classes with a name ``cls`` of their own: the least id, or, where that is null or names several sets, a number
+    from the set's key, above usual ids."""
+    odd = cut(classes.groupBy("rep").agg(F.count("*").alias("sets")).filter("rep is null or sets > 1").select(F.col("rep").alias("odd"), F.lit(True).alias("is_odd")))
+    if odd.isEmpty():
+        return classes.withColumn("cls", F.col("rep"))
+    number = F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    marked = classes.join(odd, classes["rep"].eqNullSafe(odd["odd"]), "left")
+    return cut(marked.withColumn("cls", F.when(F.col("is_odd"), number).otherwise(F.col("rep"))).drop("odd", "is_odd"))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, k: int | None, *more: Column) -> DataFrame:
+    """(doc_id, more, n, label, component_id) for each row; label is one for each component, null for empty sets."""
+    common.prepare(docs.sparkSession)
+    texts = common.text_of(docs, *more)
+    extra = [f for f in texts.schema.fields if f.name not in ("doc_id", "text")]
+    schema = ", ".join([_SCHEMA, *(f"{f.name} {f.dataType.simpleString()}" for f in extra)])
+    base = cut(texts.mapInArrow(common.lean(_sets(words, k, tuple(f.name for f in extra))), schema))
+    filled = base.filter("n > 0")
+    classes = _named(cut(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vals").alias("vals"))))
+    labels = _Search(docs, classes, words, percent, k).run()
+    named = classes.select("key", "cls", "rep").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("key", "rep", F.coalesce("label", "cls").alias("label"))
+    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.select("key", "label").join(names, "label")
+    return base.drop("vals").join(named, "key", "left").drop("key")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80, k: int | None = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: its set's size, the least id that links reach.
 
     ``k`` values are retained of each set; None keeps whole sets, so that no link at all can be lost.
     """
-    common.prepare(docs.sparkSession)
-    base = cut(common.text_of(docs).mapInArrow(common.lean(_sets(words, k)), _SCHEMA))
-    filled = base.filter("n > 0")
-    classes = cut(filled.groupBy("key").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("vals").alias("vals")))
-    labels = _Search(docs, classes.filter("cls is not null"), words, percent, k).run()
-    named = classes.select("key", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("key", F.coalesce("label", "cls").alias("component_id"))
-    rows = base.select("doc_id", "n", "key").join(named, "key", "left")
+    rows = _grouped(docs, words, percent, k)
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``ids`` (doc_id), which are broadcast if few enough."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
-
-
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with its columns."""
-    ids = cut(near_duplicates(docs, words, percent).filter("not kept").select("doc_id"))
-    return without(docs, ids)
+    """One row of each group of near-duplicates, with its columns: that of the least id, a null one last, then of the
+    least hash of the text. Of rows with equal id and text one stays, whichever. Rows without words all stay."""
+    digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    rows = cut(_grouped(docs, words, percent, K, digest.alias("digest")).filter("label is not null").select("label", "doc_id", "digest"))
+    rows = rows.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("times"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("best")
+    crowds = rows.groupBy("label").agg(best, F.sum("times").alias("size")).filter("size > 1").drop("size")
+    rows = cut(rows.join(crowds, "label").select(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_"), "times", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))).alias("first")))
+    here = lambda d, r: d["doc_id"].eqNullSafe(r["id_"]) & (F.xxhash64(F.coalesce(d["text"], F.lit(""))) == r["digest_"])
+    gone, again = rows.filter("not first"), rows.filter("first and times > 1")
+    few = lambda r: F.broadcast(r) if r.count() <= BROADCAST_ROWS else r
+    rest = docs.join(few(gone), here(docs, gone), "left_anti")
+    if again.isEmpty():
+        return rest
+    once = rest.join(few(again), here(rest, again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(few(again), here(rest, again), "left_anti").unionByName(once)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

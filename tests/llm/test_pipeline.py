@@ -53,3 +53,30 @@ def test_run_keeps_null_and_repeated_ids(spark, tmp_path):
     assert collections.Counter(x["doc_id"] for x in rows) == +want and want[None] > 0
     v = sentencepiece_scan.load(sentencepiece_scan.MODEL)
     assert {sentencepiece_scan.decode(v, x["ids"]) for x in rows} <= set(texts)
+
+
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(str(r.randrange(10**6)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a + " more words here"
+    rows = [
+        (5, a), (9, near), (None, a), (5, a),  # one group: a repeated row, a near copy, a copy without id
+        (9, b), (5, c),  # unlike texts under ids of that group
+        (None, d), (None, d), (None, d + " tail"),  # a group without any id
+        (3, e), (2, e), (2, e + " end"),  # the least id has two texts
+        (4, None), (4, ""), (None, None),  # without words all stay
+    ]
+    docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    out = near_dedup.deduplicated(docs)
+    assert out.schema == docs.schema
+    got = collections.Counter((x["doc_id"], x["text"]) for x in out.collect())
+    assert got[5, a] == 1 and got[9, near] == got[None, a] == 0
+    assert got[9, b] == got[5, c] == 1
+    assert got[None, d] + got[None, d + " tail"] == 1
+    assert got[2, e] + got[2, e + " end"] == 1 and got[3, e] == 0
+    assert got[4, None] == got[4, ""] == got[None, None] == 1
+    assert sum(got.values()) == 8
+    found = collections.Counter((x["doc_id"], x["component_id"]) for x in near_dedup.near_duplicates(docs).collect())
+    assert found[9, 5] == 1 and found[9, 9] == 1 and found[5, 5] == 3 and found[None, 5] == 1 and found[3, 2] == 1
+    assert near_dedup.deduplicated(frame(spark, [])).count() == 0
