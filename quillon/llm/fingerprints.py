@@ -164,8 +164,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(slice, extra, doc_id, text), partitioned by slice and sorted: within a slice each row is followed by the
     next document in descending id order; the first of the following slice comes once more, as extra.
 
-    Ids are cut into as many ranges as there are shuffle partitions, so the driver sees one id a range and no
-    partition needs another's rows.
+    Ids are cut into as many ranges as there are shuffle partitions, each a partition of its own, so the driver sees
+    one id a range and no partition needs another's rows.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -186,7 +186,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     to = F.element_at(F.map_from_arrays(F.lit(known), F.lit([s for _, s in before])), F.when(F.col("key").isin(known), F.col("key"))) if before else F.lit(None).cast("int")
     places = F.array(F.struct(F.col("slice"), F.lit(0).alias("extra")), F.struct(to.alias("slice"), F.lit(1).alias("extra")))
     rows = rows.select("key", "doc_id", "text", F.explode(F.filter(places, lambda p: p["slice"].isNotNull())).alias("p"))
-    rows = rows.select("p.slice", "p.extra", "key", "doc_id", "text").repartition(n, "slice")
+    rows = rows.select("p.slice", "p.extra", "key", "doc_id", "text").repartitionById(n, "slice")
     return rows.sortWithinPartitions("slice", "extra", F.desc("key"), "text").select("slice", "extra", "doc_id", "text")
 
 
