@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import caveats, k3
-from ..model import ELLIPSIS, MAX_DEPTH, WILDCARD, Arrow, DepthError, Itself, Nil, Op, Ref, Schema
+from ..model import ELLIPSIS, MAX_DEPTH, WILDCARD, Arrow, DepthError, Itself, Nil, Op, Ref, Schema, walk
 from ..plans import graph
 from . import strict
 from . import subject_sets as sets
 from .filters import page, unexpired
-from .fixpoint import keep
+from .fixpoint import closure, keep
 from .goals import Goals
 from .permissions import Planner, Unstratified
 
 ASKED = ["rid", "stype", "srel", "sid"]
-#: Live rows that a check of an unstratified permission may bring to the driver.
+#: Live rows below the asked resources that a check of an unstratified permission may bring to the driver.
 STRICT_ROWS = 200_000
 
 
@@ -32,6 +34,8 @@ def check(schema: Schema, rows: DataFrame, type_: str, permission: str, asked: D
     ``goals``). A subject that is the resource's own permission is a member.
     """
     todo = keep(asked.select(*ASKED).distinct())
+    if graph.below(schema, {(type_, permission)}) & graph.cycles(schema).keys():
+        rows = narrowed(schema, rows, type_, permission, todo.select("rid"))
     try:
         plain = not graph.may_hold(schema, {(type_, permission)})[1]
         found = Goals(schema, rows, plain).granted(type_, permission, todo)
@@ -44,9 +48,28 @@ def check(schema: Schema, rows: DataFrame, type_: str, permission: str, asked: D
     return asked.join(out, ASKED)
 
 
+def narrowed(schema: Schema, rows: DataFrame, type_: str, permission: str, resources: DataFrame) -> DataFrame:
+    """The rows of objects that lie below the resources (rid): what the permission's usersets and arrows lead to from
+    there. Relationships of other objects can't matter, so recursion needn't go through them. Where objects lie more
+    than MAX_DEPTH steps below, and where ``self`` takes part (any row may name its objects), the rows as they are."""
+    hops = graph.hops(schema, (type_, permission))
+    if not hops or any(isinstance(e, Itself) for n in graph.below(schema, {(type_, permission)}) if schema.relation(*n) for e in walk(schema.relation(*n).rewrite)):
+        return rows
+    name = lambda t, i: F.concat_ws("\x1f", t, i)
+    hop = reduce(lambda x, y: x | y, [(F.col("resource_type") == t) & (F.col("resource_rel") == r) & (F.col("subject_type") == st) for t, r, st in hops])
+    edges = rows.filter(hop & (F.col("subject_id") != WILDCARD)).select(name("resource_type", "resource_id").alias("src"), name("subject_type", "subject_id").alias("dst"))
+    seeds = resources.select(F.lit(0).alias("start"), name(F.lit(type_), "rid").alias("node"))
+    try:
+        found = closure(edges, seeds).select("node")
+    except DepthError:
+        return rows
+    return keep(rows.join(found, name(rows["resource_type"], rows["resource_id"]) == found["node"], "left_semi"))
+
+
 def lookup_subjects(schema: Schema, rows: DataFrame, type_: str, permission: str, resources: DataFrame, subject_type: str, subject_rel: str = ELLIPSIS, wildcards: bool = True, limit: int = 0) -> DataFrame:
     """(rid, sid, st, missing, excluded) for resources (rid): subjects of the type, and ``*`` with whom it leaves out.
     A limit counts single subjects only, in id order for each resource."""
+    rows = narrowed(schema, rows, type_, permission, resources)
     view = Planner(schema, rows, within=resources).view(type_, permission, root=True)
     found = sets.listed(view).filter((F.col("stype") == subject_type) & (F.col("srel") == subject_rel))
     if not wildcards:

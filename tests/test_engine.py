@@ -125,6 +125,20 @@ def test_unstratified_checks_go_by_walk(spark):
     assert {r["rid"]: r["verdict"] for r in access.check(s, live, "folder", "odd", asked).collect()} == {"a": "member", "b": "notMember"}
 
 
+def test_recursion_stays_below_what_is_asked(spark, monkeypatch):
+    s = compile_schema("definition user {} definition folder { relation parent: folder relation viewer: user permission view = viewer + parent->view permission odd = viewer - parent->odd }")
+    mine = ["folder:a#viewer@user:u", "folder:b#parent@folder:a", "folder:c#parent@folder:b"]
+    other = [f"folder:x{i}#parent@folder:x{i + 1}" for i in range(20)] + ["folder:x20#viewer@user:u", "folder:x0#parent@folder:c"]
+    live = access.prepared(s, rows_of(spark, *mine, *other))
+    ids = spark.createDataFrame([("c",)], "rid string")
+    assert access.narrowed(s, live, "folder", "view", ids).count() == len(mine)
+    monkeypatch.setattr(access, "STRICT_ROWS", len(mine))  # the walk brings no more than these to the driver
+    asked = spark.createDataFrame([("c", "user", "...", "u"), ("a", "user", "...", "u")], "rid string, stype string, srel string, sid string")
+    assert {r["rid"]: r["verdict"] for r in access.check(s, live, "folder", "odd", asked).collect()} == {"c": "notMember", "a": "member"}
+    assert {r["rid"]: r["verdict"] for r in access.check(s, live, "folder", "view", asked).collect()} == {"c": "member", "a": "member"}
+    assert [(r["rid"], r["sid"]) for r in access.lookup_subjects(s, live, "folder", "view", ids, "user").collect()] == [("c", "u")]
+
+
 def test_empty_tupleset_denies_all(spark):
     s = compile_schema("definition user {} definition fold { relation v: user } definition doc { relation p: fold permission x = p.all(v) }")
     live = access.prepared(s, rows_of(spark, "fold:1#v@user:u", "fold:2#v@user:u", "doc:a#p@fold:1", "doc:a#p@fold:2", "doc:b#p@fold:1", "doc:b#p@fold:3"))
