@@ -11,7 +11,7 @@ from quillon.functions.tuples import nanos
 from quillon.model import TUPLES, WILDCARD, DepthError, SchemaError
 from quillon.operators import access, strict
 from quillon.operators import subject_sets as sets
-from quillon.operators.fixpoint import keep
+from quillon.operators.fixpoint import closure_sql, keep
 from quillon.operators.permissions import Planner, Unstratified
 from quillon.plans import graph
 from quillon.plans.dsl import compile_schema, show
@@ -179,3 +179,14 @@ def test_introspection():
     assert [(t, r) for t, r, _ in graph.computable_permissions(s, "f", "v")] == [("d", "x"), ("d", "y"), ("f", "w")]
     assert [(t, r) for t, r, _ in graph.dependent_relations(s, "d", "y")] == [("d", "o"), ("d", "p"), ("d", "x"), ("f", "v"), ("f", "w")]
     assert graph.schema_hash(s) == graph.schema_hash(compile_schema("definition f { permission w = v relation v: user } definition d { relation o: user relation p: f permission y = x & o permission x = o + p->w } definition user {}"))
+
+
+def test_recursive_query_has_no_row_limit(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", "a"), ("b", "b")], "start string, node string")
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, 4)
+    try:
+        assert {tuple(r) for r in closure_sql(spark, edges, seeds).collect()} == {("a", "a"), ("a", "b"), ("a", "c"), ("b", "b"), ("b", "c")}
+    finally:
+        spark.conf.unset(limit)
