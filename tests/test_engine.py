@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import k3
 from quillon.functions.tuples import nanos
 from quillon.model import TUPLES, WILDCARD, DepthError, SchemaError
-from quillon.operators import access, strict
+from quillon.operators import access, blocks, strict
 from quillon.operators import subject_sets as sets
 from quillon.operators.fixpoint import closure_sql, keep
 from quillon.operators.permissions import Planner, Unstratified
@@ -190,3 +190,38 @@ def test_recursive_query_has_no_row_limit(spark):
         assert {tuple(r) for r in closure_sql(spark, edges, seeds).collect()} == {("a", "a"), ("a", "b"), ("a", "c"), ("b", "b"), ("b", "c")}
     finally:
         spark.conf.unset(limit)
+
+
+BLOCKS = """definition user {} definition nation { relation member: user } definition firm { relation nation: nation permission rep = nation->member }
+definition deal { relation owner: user relation firm: firm relation banned: user
+  permission view = (owner + firm->rep) - banned permission rep = firm->rep permission every = firm.all(rep) permission both = owner & firm->rep permission less = firm->rep - (owner & banned) }"""
+
+
+def test_sets_in_blocks_say_what_a_walk_says(spark, monkeypatch):
+    """Also where blocks are listed in several chunks and lose or gain single subjects."""
+    monkeypatch.setattr(blocks, "CHUNK", 2)
+    r, s = random.Random(5), compile_schema(BLOCKS)
+    lines = {f"nation:{r.randrange(4)}#member@user:{u}" for u in range(12) for _ in range(2)} | {f"firm:{f}#nation@nation:{f % 4}" for f in range(5)}
+    lines |= {f"deal:{d}#{rel}@{'firm' if rel == 'firm' else 'user'}:{r.randrange(5 if rel == 'firm' else 14)}" for d in range(8) for rel in ("owner", "firm", "firm", "banned", "banned")}
+    live = access.prepared(s, rows_of(spark, *sorted(lines)))
+    walk = strict.Walk(s, strict.tuples_of(live, 1000))
+    planner = Planner(s, live)
+    for name in ("view", "rep", "every", "both", "less"):
+        want = {(str(d), str(u)) for d in range(8) for u in range(14) if (walk.check(("deal", str(d), name), ("user", str(u), "...")) or (0,))[0] >= k3.T}
+        assert sorted((x["rid"], x["sid"]) for x in planner.view("deal", name).rows.collect()) == sorted(want), name
+        users = {d: [u for e, u in want if e == d] for d, _ in want}
+        assert {x["rid"]: (x["users"], x["first"]) for x in planner.totals("deal", name, first=True).collect()} == {d: (len(u), min(u)) for d, u in users.items()}
+        if name not in ("view", "less"):
+            continue
+        ids = spark.createDataFrame([(str(d),) for d in range(6)], "rid string")
+        found = access.lookup_subjects(s, live, "deal", name, ids, "user", limit=2)
+        assert sorted((x["rid"], x["sid"]) for x in found.collect()) == sorted((d, u) for d in users if int(d) < 6 for u in sorted(users[d])[:2])
+
+
+def test_counts_list_nobody(spark):
+    """Counts and first subjects are found from an object's few blocks, however many subjects these have."""
+    s = compile_schema(BLOCKS)
+    live = access.prepared(s, rows_of(spark, *(f"nation:{u % 2}#member@user:{u}" for u in range(60)), "firm:f#nation@nation:0", "firm:g#nation@nation:1", "deal:a#firm@firm:f", "deal:a#firm@firm:g", "deal:a#owner@user:7", "deal:a#banned@user:8", "deal:b#owner@user:7"))
+    held = Planner(s, live).blocked("deal", "view")
+    assert (held.blocks.count(), held.changes.count()) == (2, 2)
+    assert {x["rid"]: x["users"] for x in Planner(s, live).totals("deal", "view").collect()} == {"a": 59, "b": 1}
