@@ -225,3 +225,12 @@ def test_counts_list_nobody(spark):
     held = Planner(s, live).blocked("deal", "view")
     assert (held.blocks.count(), held.changes.count()) == (2, 2)
     assert {x["rid"]: x["users"] for x in Planner(s, live).totals("deal", "view").collect()} == {"a": 59, "b": 1}
+
+
+def test_all_lists_each_pair_once_from_blocks(spark):
+    """No pair of subject and target is built; a target of another type, or without subjects, grants nobody."""
+    s = compile_schema(BLOCKS)
+    live = access.prepared(s, rows_of(spark, *(f"nation:{n}#member@user:{u}" for n, u in ("00", "01", "10", "11")), "firm:f#nation@nation:0", "firm:g#nation@nation:1", "deal:a#firm@firm:f", "deal:a#firm@firm:g", "deal:b#firm@firm:f", "deal:b#firm@firm:h", "deal:c#firm@firm:f", "deal:c#firm@user:0"))
+    planner = Planner(s, live)
+    assert planner.blocked("deal", "every").blocks.count() == 1
+    assert sorted((x["rid"], x["sid"]) for x in planner.view("deal", "every").rows.collect()) == [("a", "0"), ("a", "1")]
