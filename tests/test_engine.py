@@ -234,3 +234,34 @@ def test_all_lists_each_pair_once_from_blocks(spark):
     planner = Planner(s, live)
     assert planner.blocked("deal", "every").blocks.count() == 1
     assert sorted((x["rid"], x["sid"]) for x in planner.view("deal", "every").rows.collect()) == [("a", "0"), ("a", "1")]
+
+
+def test_all_with_wildcards_pairs_no_subject_with_every_target(spark, monkeypatch):
+    s = check_schema(compile_schema("""definition user {} caveat lucky(n int, want int) { n == want }
+    definition fold { relation viewer: user | user:* | user with lucky | user:* with lucky relation banned: user permission view = viewer - banned }
+    definition doc { relation parent: fold permission all = parent.all(view) }"""))
+    r, rows = random.Random(3), {}
+    for _ in range(40):
+        rel = r.choice(["viewer", "viewer", "banned"])
+        sid = r.choice(["0", "1", "2", WILDCARD, WILDCARD]) if rel == "viewer" else r.choice(["0", "1", "2"])
+        key = ("fold", str(r.randrange(5)), rel, "user", sid, "...")
+        rows[key] = ("lucky", '{"want":1}') if rel == "viewer" and r.random() < 0.4 else (None, None)
+    rows |= {("doc", str(d), "parent", "fold", str(f), "..."): (None, None) for d in range(6) for f in r.sample(range(5), 1 + d % 3)}
+    live = access.prepared(s, spark.createDataFrame([(*k, *c, None) for k, c in rows.items()], TUPLES))
+    walk = strict.Walk(s, strict.tuples_of(live, 1000))
+    asked = spark.createDataFrame([(str(d), "user", "...", str(u)) for d in range(6) for u in range(4)], "rid string, stype string, srel string, sid string")
+    met = []
+    join = type(asked).join
+
+    def counted(self, other, *args, **kw):
+        if {"rid", "target"} <= set(other.columns) and "c" not in other.columns and "w" not in other.columns and "sid" in self.columns:
+            met.append(other)
+        return join(self, other, *args, **kw)
+
+    monkeypatch.setattr(type(asked), "join", counted)
+    view = Planner(s, live).view("doc", "all")
+    assert not met  # subjects met all targets of their object before
+    got = {(x["rid"], x["sid"]): (x["k"] or [0])[0] for x in sets.granted(view, asked).collect()}
+    want = {k: (walk.check(("doc", k[0], "all"), ("user", k[1], "...")) or (0,))[0] for k in got}
+    grade = lambda v: min(v, k3.T)
+    assert {k: grade(v) for k, v in got.items()} == {k: grade(v) for k, v in want.items()} and len(set(want.values())) > 1
