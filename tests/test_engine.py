@@ -265,3 +265,14 @@ def test_all_with_wildcards_pairs_no_subject_with_every_target(spark, monkeypatc
     want = {k: (walk.check(("doc", k[0], "all"), ("user", k[1], "...")) or (0,))[0] for k in got}
     grade = lambda v: min(v, k3.T)
     assert {k: grade(v) for k, v in got.items()} == {k: grade(v) for k, v in want.items()} and len(set(want.values())) > 1
+
+
+def test_arrows_list_a_few_pairs_in_many_tasks(spark):
+    """Each pair once, without a shuffle of the listed pairs."""
+    s = compile_schema(BLOCKS)
+    live = access.prepared(s, rows_of(spark, "nation:0#member@user:a", "nation:0#member@user:b", "nation:1#member@user:b", "firm:f#nation@nation:0", "firm:f#nation@nation:1", "firm:g#nation@nation:1"))
+    rows = Planner(s, live).view("firm", "rep").rows
+    assert sorted((x["rid"], x["sid"]) for x in rows.collect()) == [("f", "a"), ("f", "b"), ("g", "b")]
+    plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    listing = next(i for i, line in enumerate(plan) if "Generate inline" in line)
+    assert not any("Exchange" in line or "Aggregate" in line for line in plan[:listing])
