@@ -276,3 +276,13 @@ def test_arrows_list_a_few_pairs_in_many_tasks(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
     listing = next(i for i, line in enumerate(plan) if "Generate inline" in line)
     assert not any("Exchange" in line or "Aggregate" in line for line in plan[:listing])
+
+
+def test_all_counts_links_that_are_read_once(spark):
+    """What is listed comes from kept tables alone; links were found anew for their number before."""
+    s = compile_schema(BLOCKS)
+    live = access.prepared(s, rows_of(spark, "nation:0#member@user:a", "nation:1#member@user:a", "nation:1#member@user:b", "firm:f#nation@nation:0", "firm:f#nation@nation:1", "firm:g#nation@nation:1", *(f"deal:{d}#firm@firm:{f}" for d, f in ("af", "ag", "bg", "cf", "ch"))))
+    held = Planner(s, live).blocked("deal", "every")
+    plan = held.blocks._jdf.queryExecution().executedPlan().toString()
+    assert "quillon-" in plan and not any(x in plan for x in ("Exchange", "ExistingRDD", "LocalTableScan"))
+    assert sorted((x["rid"], x["sid"]) for x in Planner(s, live).view("deal", "every").rows.collect()) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
