@@ -286,3 +286,13 @@ def test_all_counts_links_that_are_read_once(spark):
     plan = held.blocks._jdf.queryExecution().executedPlan().toString()
     assert "quillon-" in plan and not any(x in plan for x in ("Exchange", "ExistingRDD", "LocalTableScan"))
     assert sorted((x["rid"], x["sid"]) for x in Planner(s, live).view("deal", "every").rows.collect()) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
+
+
+def test_lookups_from_blocks_search_no_objects(spark, monkeypatch):
+    """Sets in blocks are found for the asked objects without a walk over all edges below them."""
+    s = compile_schema(BLOCKS)
+    live = access.prepared(s, rows_of(spark, *(f"nation:{u % 2}#member@user:{u}" for u in range(6)), "firm:f#nation@nation:0", "firm:g#nation@nation:1", "deal:a#firm@firm:f", "deal:a#owner@user:7", "deal:a#banned@user:2", "deal:a#banned@user:3", "deal:b#firm@firm:g", "deal:c#firm@firm:f"))
+    monkeypatch.delattr(access, "closure")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",)], "rid string")
+    found = sorted((x["rid"], x["sid"]) for x in access.lookup_subjects(s, live, "deal", "view", ids, "user").collect())
+    assert found == [("a", "0"), ("a", "4"), ("a", "7"), ("b", "1"), ("b", "3"), ("b", "5")]
