@@ -296,3 +296,12 @@ def test_lookups_from_blocks_search_no_objects(spark, monkeypatch):
     ids = spark.createDataFrame([("a",), ("a",), ("b",)], "rid string")
     found = sorted((x["rid"], x["sid"]) for x in access.lookup_subjects(s, live, "deal", "view", ids, "user").collect())
     assert found == [("a", "0"), ("a", "4"), ("a", "7"), ("b", "1"), ("b", "3"), ("b", "5")]
+
+
+def test_long_lists_get_more_tasks(spark, monkeypatch):
+    """The listed pairs set the number of tasks, not only the partitions of shuffles."""
+    monkeypatch.setattr(blocks, "TASK", 4, raising=False)
+    s = compile_schema(BLOCKS)
+    live = access.prepared(s, rows_of(spark, *(f"nation:0#member@user:{u}" for u in range(9)), "firm:f#nation@nation:0", "firm:g#nation@nation:0"))
+    rows = Planner(s, live).view("firm", "rep").rows
+    assert rows.rdd.getNumPartitions() == 5 and rows.count() == 18
